@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality_rules, simhash, token_files
+from . import chat, decontaminate, mixing, pii, quality_rules, simhash, suffix_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *pii.digest(F.col("pii")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), keep="none")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -59,5 +67,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_chat, op6_mixing, op7_token_files, op8_decontaminate, op9_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_suffix_dedup, op4_chat, op6_mixing, op7_token_files, op8_decontaminate, op9_quality_rules, op10_simhash)}
 ORACLES: dict[str, str] = {}
