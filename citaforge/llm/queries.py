@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality_rules, simhash, suffix_dedup, token_files, warc
+from . import chat, decontaminate, mixing, pii, quality_model, quality_rules, simhash, suffix_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,5 +71,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_suffix_dedup, op4_chat, op6_mixing, op7_token_files, op8_decontaminate, op9_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_suffix_dedup, op4_chat, op5_quality_model, op6_mixing, op7_token_files, op8_decontaminate, op9_quality_rules, op10_simhash)}
 ORACLES: dict[str, str] = {}
