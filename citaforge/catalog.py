@@ -5,10 +5,431 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import columns as c
+from .functions.lexicon import INCIDENTS
+from .operators import detect, evaluate, headers, index, noise, rulings, submission
+from .plans import fixtures as x
+from .plans.verify import verify
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = x.oracle(oracle)
+        return f
+
+    return add
+
+
+def _base(spark: SparkSession, sf_dir: str) -> index.Base:
+    return index.build(index.clean_rows(x.base_rows(spark, sf_dir)))
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify(x.opinions(spark, sf_dir), _base(spark, sf_dir))
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.derive(spark, sf_dir, x.GOLD_ROWS)
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.derive(spark, sf_dir, x.PREDICTIONS)
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+# -- end to end -------------------------------------------------------------------
+
+
+@query(f"select documento_id, inicio, fim, familia, classificacao, id_canonico, caminho from ({x.GOLD}) g")
+def verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every citation of every opinion, labelled by the base."""
+    return _verified(spark, sf_dir).select("documento_id", *_long("inicio", "fim"), "familia", "classificacao", "id_canonico", "caminho")
+
+
+_CELL = "concat_ws(',', cast(inicio as string), cast(fim as string), classificacao, coalesce(cast(id_canonico as string), '-'), '1.0000')"
+
+
+@query(f"select documento_id, string_agg({_CELL}, '|' order by inicio) as citacoes from ({x.GOLD}) g group by documento_id")
+def submission_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One packed cell per opinion."""
+    return submission.cells(x.opinions(spark, sf_dir), _verified(spark, sf_dir))
+
+
+@query(f"select classificacao, count(*) as n from ({x.GOLD}) g group by classificacao")
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submission.summary(_verified(spark, sf_dir))
+
+
+@query(f"select familia, count(*) as n, count(distinct documento_id) as documentos from ({x.GOLD}) g group by familia")
+def detected_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations by family, as detected."""
+    return evaluate.spurious(detect.citations(x.opinions(spark, sf_dir)), ["familia"])
+
+
+@query(f"select documento_id, inicio, fim, trecho, familia, case familia when 'dispositivo' then 'lei' else 'jurisprudencia' end as tipo from ({x.GOLD}) g")
+def detect_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.citations(x.opinions(spark, sf_dir)).select("documento_id", *_long("inicio", "fim"), "trecho", "familia", "tipo")
+
+
+@query()
+def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON contract of each opinion."""
+    return submission.contract_json(x.opinions(spark, sf_dir), _verified(spark, sf_dir))
+
+
+@query("select cast('' as string) as documento_id, cast('' as string) as id, cast('' as string) as problema where false")
+def contract_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sound output breaks no rule."""
+    return submission.contract_problems(_verified(spark, sf_dir), x.opinions(spark, sf_dir))
+
+
+# -- the base ---------------------------------------------------------------------
+
+_OWN = f"select cast(n as string) as numero, concat('a', cast(k as string)) as documento_id from ({x.PIECES}) p where k % 3 = 0 union all select cast(n as string), concat('b', cast(k as string)) from ({x.PIECES}) p where k % 30 = 0"
+
+
+@query(f"select * from ({_OWN}) o")
+def index_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with at most two owners; the one that every header repeats is cut."""
+    return _base(spark, sf_dir).numeros
+
+
+@query(f"select 'STJ' as tribunal, false as vinculante, s as numero, 800000000 + s as id_canonico from ({x.PIECES}) p where s % 2 = 0 group by s")
+def index_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _base(spark, sf_dir).sumulas
+
+
+@query(f"select 'CPC' as codigo, cast(a as string) as artigo, 700000000 + a as id_canonico from ({x.PIECES}) p where a % 3 = 0 group by a")
+def index_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _base(spark, sf_dir).dispositivos
+
+
+@query("select 'CPC' as codigo, '13105' as lei, cast(2015 as bigint) as ano")
+def index_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _base(spark, sf_dir).leis.select("codigo", "lei", *_long("ano"))
+
+
+@query(f"select concat('x', cast(k as string)) as documento_id from ({x.PIECES}) p where k % 100 = 0")
+def index_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _base(spark, sf_dir).ilegiveis
+
+
+@query(f"select numero, documento_id, cast(row_number() over (partition by numero order by case when documento_id like 'b%' then 0 else 1 end, documento_id) as bigint) as posicao from ({_OWN}) o")
+def index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a number, longer texts first."""
+    return index.ordered_candidates(_base(spark, sf_dir)).select("numero", "documento_id", *_long("posicao"))
+
+
+@query(f"select cast(1 as bigint) as n_max, cast(count(*) as bigint) as registros from ({_OWN}) o")
+def index_numbers_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _base(spark, sf_dir).numeros.groupBy("documento_id").agg(F.count("*").alias("n"))
+    return per.agg(F.max("n").alias("n_max"), F.count("*").alias("registros"))
+
+
+@query(f"select median(n) as mediana, max(n) as maximo, (select count(*) from (select numero from ({_OWN}) o group by numero having count(*) > 1) s) as ambiguos, (select count(distinct numero) from ({_OWN}) o) as numeros from (select documento_id, count(*) as n from ({_OWN}) o group by documento_id) q")
+def region_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.numbers_per_record(_base(spark, sf_dir).numeros)
+
+
+@query(f"select concat('a', cast(k as string)) as documento_id, cast(n as string) as numero from ({x.PIECES}) p where k % 3 = 0 and k % 30 <> 0")
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rulings whose number no other has."""
+    return noise.catalogue(_base(spark, sf_dir)).select("documento_id", "numero")
+
+
+@query(f"select concat('a', cast(k as string)) as documento_id, true as livre, cast(7 as bigint) as digitos from ({x.PIECES}) p where k % 3 = 0 and k % 30 <> 0")
+def invented_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each such ruling a number of the same form that the index lacks."""
+    base = _base(spark, sf_dir)
+    found = noise.invent_numbers(noise.catalogue(base), base.numeros)
+    taken = base.numeros.select("numero", F.lit(True).alias("t")).distinct()
+    return found.join(taken, "numero", "left").select("documento_id", F.col("t").isNull().alias("livre"), F.length("numero").cast("bigint").alias("digitos"))
+
+
+_ZONES = [("cabecalho", "0", "e"), ("ementa", "e", "r"), ("relatorio", "r", "v"), ("voto", "v", "z")]
+_ZONE_PLACES = f"select documento_id, cast(instr(texto, 'EMENTA') - 1 as bigint) as e, cast(instr(texto, 'RELATÓRIO') - 1 as bigint) as r, cast(instr(texto, 'VOTO') - 1 as bigint) as v, cast(length(texto) as bigint) as z from ({x.BASE}) b where natureza = 'Acórdão'"
+
+
+@query(" union all ".join(f"select documento_id, '{kind}' as tipo, cast({a} as bigint) as inicio, {b} as fim from ({_ZONE_PLACES}) z" for kind, a, b in _ZONES))
+def ruling_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones tile each ruling."""
+    rows = x.derive(spark, sf_dir, x.BASE).where("natureza = 'Acórdão'").select("documento_id", "tribunal", "texto")
+
+    @F.udf("array<struct<tipo:string,inicio:bigint,fim:bigint>>", useArrow=True)
+    def zones(text: str, court: str) -> list[tuple]:
+        return [tuple(z) for z in rulings.zones(text, court)]
+
+    from .functions.workers import reachable
+
+    reachable(spark)
+    return rows.select("documento_id", F.inline(zones("texto", "tribunal")))
+
+
+@query(f"select documento_id, corpo from ({x.OPINIONS}) o")
+def header_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each opinion's header ends."""
+    from .functions.workers import reachable
+
+    reachable(spark)
+    end = F.udf(headers.header_end, "bigint", useArrow=True)
+    return x.opinions(spark, sf_dir).select("documento_id", end("texto").alias("corpo"))
+
+
+# -- evaluation -------------------------------------------------------------------
+
+_IOU = "case when least(g.fim, p.fim) > greatest(g.inicio, p.inicio) then (least(g.fim, p.fim) - greatest(g.inicio, p.inicio)) / cast(g.fim - g.inicio + p.fim - p.inicio - (least(g.fim, p.fim) - greatest(g.inicio, p.inicio)) as double) else 0 end"
+_PAIRS = f"""
+select g.documento_id, g.nivel, g.inicio as g_inicio, g.fim as g_fim, g.classe as g_classe, g.id as g_id, p.inicio as p_inicio, p.fim as p_fim, p.classe as p_classe, p.id as p_id, p.confianca, p.caminho,
+       g.classe = p.classe and (g.classe <> 'real' or g.id = p.id) as certo
+from ({x.GOLD_ROWS}) g join ({x.PREDICTIONS}) p on g.documento_id = p.documento_id and {_IOU} >= 0.5
+"""
+
+
+@query(f"select documento_id, g_inicio, p_inicio, round((g_fim - p_inicio) / cast(p_fim - g_inicio as double), 9) as iou from ({_PAIRS}) m")
+def span_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold and predicted spans, one to one."""
+    return evaluate.match(_gold(spark, sf_dir), _predictions(spark, sf_dir)).select("documento_id", "g_inicio", "p_inicio", F.round("iou", 9).alias("iou"))
+
+
+_OUTCOMES = f"""
+select nivel, g_classe as gold, p_classe as previsto, case when certo then 1 else 0 end as tp, case when certo then 0 else 1 end as fp, case when g_classe = p_classe then 0 else 1 end as fn from ({_PAIRS}) m
+union all select g.nivel, g.classe, null, 0, 0, 1 from ({x.GOLD_ROWS}) g where not exists (select 1 from ({_PAIRS}) m where m.documento_id = g.documento_id and m.g_inicio = g.inicio)
+union all select 1 + k % 2, null, 'real', 0, 1, 0 from ({x.PIECES}) p where k % 9 = 0
+"""
+
+
+@query(f"select cast(nivel as bigint) as nivel, coalesce(gold, '-') as gold, coalesce(previsto, '-') as previsto, count(*) as n from ({_OUTCOMES}) o group by 1, 2, 3")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(evaluate.outcomes(_gold(spark, sf_dir), _predictions(spark, sf_dir))).select(*_long("nivel"), "gold", "previsto", "n")
+
+
+_SUMS = f"select nivel, classe, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(s) as suporte from (select nivel, gold as classe, tp, 0 as fp, fn, 1 as s from ({_OUTCOMES}) o union all select nivel, previsto, 0, fp, 0, 0 from ({_OUTCOMES}) o) e where classe is not null group by nivel, classe"
+
+
+@query(f"select cast(nivel as bigint) as nivel, classe, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, cast(suporte as bigint) as suporte, round(coalesce(2 * tp / cast(nullif(2 * tp + fp + fn, 0) as double), 0), 9) as f1 from ({_SUMS}) s")
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.class_scores(evaluate.outcomes(_gold(spark, sf_dir), _predictions(spark, sf_dir)))
+    return found.select(*_long("nivel"), "classe", *_long("tp", "fp", "fn", "suporte"), F.round("f1", 9).alias("f1"))
+
+
+_LEVELS = f"""
+select m.nivel, macro, tau, macro * (1 - 0.5 * tau) * (1 + 0.1 * (1 - brier)) as score
+from (select nivel, avg(coalesce(2 * tp / cast(nullif(2 * tp + fp + fn, 0) as double), 0)) as macro from ({_SUMS}) s where suporte > 0 group by nivel) m
+join (select nivel, avg(case when previsto = 'real' then 1.0 else 0.0 end) as tau from ({_OUTCOMES}) o where gold is not null and gold <> 'real' group by nivel) t on m.nivel = t.nivel
+join (select nivel, avg(power(confianca - case when certo then 1 else 0 end, 2)) as brier from ({_PAIRS}) q group by nivel) b on m.nivel = b.nivel
+"""
+
+
+@query(f"select cast(nivel as bigint) as nivel, round(macro, 9) as macro_f1, round(tau, 9) as tau, round(score, 9) as score from ({_LEVELS}) l")
+def level_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.level_scores(_gold(spark, sf_dir), _predictions(spark, sf_dir))
+    return found.select(*_long("nivel"), *[F.round(n, 9).alias(n) for n in ("macro_f1", "tau", "score")])
+
+
+@query(f"select round((sum(case when nivel = 1 then score else 0 end) + 2 * sum(case when nivel = 2 then score else 0 end)) / 3, 9) as final from ({_LEVELS}) l")
+def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.final_score(evaluate.level_scores(_gold(spark, sf_dir), _predictions(spark, sf_dir))).select(F.round("final", 9).alias("final"))
+
+
+@query(f"select caminho, round(avg(case when certo then 1.0 else 0.0 end), 9) as acerto, count(*) as n from ({_PAIRS}) m group by caminho")
+def path_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.path_accuracy(_gold(spark, sf_dir), _predictions(spark, sf_dir)).select("caminho", F.round("acerto", 9).alias("acerto"), "n")
+
+
+@query(f"select coalesce(gold, '-') as gold, coalesce(previsto, '-') as previsto, count(*) as n from ({_OUTCOMES}) o where gold is distinct from previsto group by 1, 2 order by n desc, 1, 2 limit 3")
+def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.verify import top_confusions as top
+
+    return top(_gold(spark, sf_dir), _predictions(spark, sf_dir))
+
+
+@query(f"select documento_id, min(nivel) as nivel, string_agg(concat_ws(',', cast(inicio as string), cast(fim as string), classe, coalesce(cast(id as string), '')), '|' order by inicio) as citacoes from ({x.GOLD_ROWS}) g group by documento_id")
+def solution_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.solution(_gold(spark, sf_dir)).select("documento_id", *_long("nivel"), "citacoes")
+
+
+_BAD_GOLD = f"select documento_id, inicio - case when k % 19 = 0 and familia = 'sumula' then 40 else 0 end as inicio, fim, case when k % 23 = 0 and familia = 'processo' then 3 else 1 end as nivel from ({x.GOLD}) g"
+
+
+@query(f"select distinct documento_id, problema from (select concat('d', cast(k as string)) as documento_id, 'sobreposta' as problema from ({x.PIECES}) p where k % 19 = 0 union all select concat('d', cast(k as string)), 'niveis' from ({x.PIECES}) p where k % 23 = 0) z")
+def gold_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.gold_problems(x.derive(spark, sf_dir, _BAD_GOLD)).distinct()
+
+
+_MOVED = f"select documento_id, inicio + case when k % 10 = 3 then 1 else 0 end as inicio, fim + case when k % 10 = 3 then 1 else 0 end as fim, trecho from ({x.GOLD}) g"
+
+
+@query(f"select documento_id, inicio, fim, trecho from ({_MOVED}) m join (select documento_id as d, k from ({x.PIECES}) p) q on m.documento_id = q.d where k % 10 = 3")
+def offset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold rows that do not stand where they say."""
+    gold = x.derive(spark, sf_dir, _MOVED)
+    gold = gold.withColumn("inicio", F.col("inicio").cast("int")).withColumn("fim", F.col("fim").cast("int"))
+    return evaluate.offset_problems(gold, x.opinions(spark, sf_dir)).select("documento_id", *_long("inicio", "fim"), "trecho")
+
+
+_OLD = f"select documento_id, familia, inicio, fim, classificacao from ({x.GOLD}) g where k % 6 <> 0"
+_NEW = f"select documento_id, familia, inicio + case when k % 5 = 0 then 1 else 0 end as inicio, fim, case when k % 7 = 0 then 'incompleta' else classificacao end as classificacao from ({x.GOLD}) g where k % 8 <> 0"
+
+
+@query(f"select coalesce(o.documento_id, n.documento_id) as documento_id, coalesce(o.familia, n.familia) as familia, case when n.documento_id is null then 'removida' when o.documento_id is null then 'nova' when o.classificacao is distinct from n.classificacao then 'alterada' when o.inicio <> n.inicio or o.fim <> n.fim then 'deslocada' else 'igual' end as estado from ({_OLD}) o full outer join ({_NEW}) n on o.documento_id = n.documento_id and o.familia = n.familia")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.snapshot_diff(x.derive(spark, sf_dir, _OLD), x.derive(spark, sf_dir, _NEW), ["documento_id", "familia"], ["inicio", "fim"])
+
+
+_SHEET = f"""
+select documento_id, case k % 8 when 0 then '-' when 1 then '10,20,real,123,0.9100' when 2 then '10,20,real,,1.0' when 3 then '20,10,real,1,1' when 4 then '1,9,outra,-,-'
+       when 5 then '1,9,real,1' when 6 then '10,30,inventada,-,1.5|40,50,incompleta,-,x' else '10,30,real,1,1|11,30,real,2,1' end as citacoes from ({x.PIECES}) p where k % 50 <> 49
+"""
+
+
+@query(f"""
+select documento_id, cast(posicao as bigint) as posicao, problema from (
+  select documento_id, k, unnest(case k % 8 when 2 then [{{'posicao': 1, 'problema': 'id'}}] when 3 then [{{'posicao': 1, 'problema': 'span'}}] when 4 then [{{'posicao': 1, 'problema': 'classe'}}] when 5 then [{{'posicao': 1, 'problema': 'campos'}}]
+    when 6 then [{{'posicao': 1, 'problema': 'confianca'}}, {{'posicao': 2, 'problema': 'confianca'}}] when 7 then [{{'posicao': 1, 'problema': 'iou'}}] else [] end, recursive := true) from ({x.PIECES}) p where k % 50 <> 49) z
+union all select documento_id, 0, 'sem linha' from ({x.PIECES}) p where k % 50 = 49""")
+def submission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of a table with every kind of fault."""
+    return submission.submission_problems(x.derive(spark, sf_dir, _SHEET), x.opinions(spark, sf_dir)).select("documento_id", *_long("posicao"), "problema")
+
+
+_FILES = "select concat('d', cast(o_orderkey % 5000 as string)) as documento_id, concat('/in/', lpad(cast(o_orderkey as string), 9, '0'), '.txt') as path from {orders}"
+
+
+@query(f"select documento_id, max(path) as path from ({_FILES}) f group by documento_id")
+def last_file_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submission.last_by_path(x.derive(spark, sf_dir, _FILES))
+
+
+@query(f"select documento_id, count(*) as n from ({_FILES}) f group by documento_id having count(*) > 1")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submission.repeated_ids(x.derive(spark, sf_dir, _FILES))
+
+
+_LINES = "select concat('d', cast(o_orderkey % 5000 as string)) as documento_id, cast(o_custkey as string) as citacoes, cast(o_orderkey as bigint) as linha from {orders} where o_orderkey % 5000 < 4000"
+
+
+@query(f"select d.documento_id, coalesce(f.citacoes, '-') as citacoes from (select distinct concat('d', cast(o_orderkey % 5000 as string)) as documento_id from {{orders}}) d left join (select documento_id, arg_min(citacoes, linha) as citacoes from ({_LINES}) l group by documento_id) f on d.documento_id = f.documento_id")
+def first_row_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = x.derive(spark, sf_dir, "select concat('d', cast(o_orderkey % 5000 as string)) as documento_id from {orders}")
+    return submission.first_rows(x.derive(spark, sf_dir, _LINES), documents)
+
+
+# -- scalar functions ------------------------------------------------------------
+
+
+@query("select doc_id, md5(lower(strip_accents(text))) as chave from documents")
+def accents_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(F.lower(c.strip_accents(F.col("text"))).cast("binary")).alias("chave"))
+
+
+@query("select doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))) as chave from documents")
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(c.text_key(F.col("text")).cast("binary")).alias("chave"))
+
+
+_UNIT = "concat('REsp ', cast(o_orderkey as string), case o_orderkey % 5 when 0 then '/SP' when 1 then ' - RJ' when 2 then ' (XX)' when 3 then '/ S' else '' end)"
+
+
+@query("select o_orderkey, case o_orderkey % 5 when 2 then concat('REsp ', cast(o_orderkey as string), ' (XX)') else concat('REsp ', cast(o_orderkey as string)) end as texto, case o_orderkey % 5 when 0 then 'SP' when 1 then 'RJ' when 3 then 'S' end as uf from orders")
+def split_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.derive(spark, sf_dir, f"select o_orderkey, {_UNIT} as t from {{orders}}").select("o_orderkey", F.inline(F.array(c.split_unit(F.col("t")))))
+
+
+_NOISY = "concat('REsp ', replace(replace(concat('1', lpad(cast(o_orderkey as string), 6, '0')), '0', 'O'), '5', 'S'), '/MG')"
+
+
+@query("select o_orderkey, concat('1', lpad(cast(o_orderkey as string), 6, '0')) as numero from orders where regexp_matches(cast(o_orderkey as string), '[1-46-9]')")
+def noisy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers read back through the noise."""
+    rows = x.derive(spark, sf_dir, f"select o_orderkey, {_NOISY} as t from {{orders}} where cast(o_orderkey as string) rlike '[1-46-9]'")
+    return rows.select("o_orderkey", c.identifier_digits(F.col("t")).alias("numero"))
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'agint,resp' when 1 then 'agrg,edcl,rhc' when 2 then 'hc' else 'are,edcl' end as marcas from orders")
+def class_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x.derive(spark, sf_dir, "select o_orderkey, case o_orderkey % 4 when 0 then 'AgInt no REsp 12' when 1 then 'Embargos de Declaração no AgRg no Recurso em Habeas Corpus 3' when 2 then 'H.C. 5' else 'EDcl no ARE 7' end as t from {orders}")
+    return rows.select("o_orderkey", F.array_join(c.class_marks(F.col("t")), ",").alias("marcas"))
+
+
+_SETS = "select o_orderkey, case o_orderkey % 3 when 0 then 'resp,agint' when 1 then 'resp' else 'hc,edcl' end as a, case o_custkey % 3 when 0 then 'resp' when 1 then 'agint,resp,qo' else 'hc' end as b from {orders}"
+_INCIDENT_LIST = "[" + ", ".join(f"'{i}'" for i in sorted(INCIDENTS)) + "]"
+
+
+@query(f"select o_orderkey, cast(len(list_intersect(x, y)) - len(list_filter(list_concat(list_filter(x, lambda e: not list_contains(y, e)), list_filter(y, lambda e: not list_contains(x, e))), lambda e: list_contains({_INCIDENT_LIST}, e))) as bigint) as pontos from (select o_orderkey, string_split(a, ',') as x, string_split(b, ',') as y from ({_SETS}) s) t")
+def class_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x.derive(spark, sf_dir, _SETS)
+    return rows.select("o_orderkey", c.affinity(F.split("a", ","), F.split("b", ",")).cast("bigint").alias("pontos"))
+
+
+@query("select o_orderkey, cast(case when o_orderkey % 100 <= 30 then 2000 + o_orderkey % 100 else 1900 + o_orderkey % 100 end as bigint) as ano, cast(1900 + o_orderkey % 130 as bigint) as ano_longo from orders")
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x.derive(spark, sf_dir, "select o_orderkey, lpad(cast(o_orderkey % 100 as string), 2, '0') as s, cast(1900 + o_orderkey % 130 as string) as l from {orders}")
+    return rows.select("o_orderkey", c.year_of(F.col("s")).cast("bigint").alias("ano"), c.year_of(F.col("l")).cast("bigint").alias("ano_longo"))
+
+
+@query("select o_orderkey, concat(cast(1000 + o_orderkey as string), case when o_orderkey % 2 = 0 then '-A' else '' end) as artigo from orders")
+def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x.derive(spark, sf_dir, "select o_orderkey, concat(cast(cast(floor((1000 + o_orderkey) / 1000) as bigint) as string), '.', lpad(cast(o_orderkey % 1000 as string), 3, '0')) as n, case when o_orderkey % 2 = 0 then 'a' end as l from {orders}")
+    return rows.select("o_orderkey", c.article_key(F.col("n"), F.col("l")).alias("artigo"))
+
+
+@query("select o_orderkey, cast(levenshtein(cast(o_orderkey as string), cast(o_custkey as string)) as bigint) as d from orders")
+def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x.derive(spark, sf_dir, "select o_orderkey, cast(o_orderkey as string) as a, cast(o_custkey as string) as b from {orders}")
+    return rows.select("o_orderkey", F.levenshtein("a", "b").cast("bigint").alias("d"))
+
+
+_BOUNDS = "select o_orderkey, o_orderkey % 50 as a0, o_orderkey % 50 + 10 + o_custkey % 7 as a1, o_custkey % 60 as b0, o_custkey % 60 + 12 as b1 from {orders}"
+
+
+@query(f"select o_orderkey, round(case when least(a1, b1) > greatest(a0, b0) then (least(a1, b1) - greatest(a0, b0)) / cast(a1 - a0 + b1 - b0 - (least(a1, b1) - greatest(a0, b0)) as double) else 0 end, 9) as iou from ({_BOUNDS}) b")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.derive(spark, sf_dir, _BOUNDS).select("o_orderkey", F.round(c.iou(*[F.col(n) for n in ("a0", "a1", "b0", "b1")]), 9).alias("iou"))
+
+
+# -- noise ------------------------------------------------------------------------
+
+_NOISE_GOLD = f"select documento_id, inicio, fim, trecho, classificacao, id_canonico as id, 1 as nivel from ({x.GOLD}) g"
+
+
+@query(f"select documento_id, inicio, fim, trecho from ({x.GOLD}) g")
+def noise_of_rate_nought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No noise moves nothing."""
+    _, moved = noise.perturb(x.opinions(spark, sf_dir), x.derive(spark, sf_dir, _NOISE_GOLD), rate=0.0)
+    return moved.select("documento_id", *_long("inicio", "fim"), "trecho")
+
+
+@query(f"select documento_id, true as no_lugar, cast(count(*) as bigint) as n from ({x.GOLD}) g group by documento_id")
+def noise_keeps_gold_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After all noise every gold text still stands at its offsets, in as many citations."""
+    docs, moved = noise.perturb(x.opinions(spark, sf_dir), x.derive(spark, sf_dir, _NOISE_GOLD), rate=0.3, seed=5)
+    j = moved.join(docs, "documento_id")
+    return j.groupBy("documento_id").agg(F.bool_and(F.expr("substring(texto, inicio + 1, fim - inicio)").eqNullSafe(F.col("trecho"))).alias("no_lugar"), F.count("*").alias("n"))
+
+
+@query("select o_orderkey, cast(concat('7', lpad(cast(o_orderkey as string), 6, '0')) as string) as digitos, concat('7.', substr(lpad(cast(o_orderkey as string), 6, '0'), 1, 3), '.', substr(lpad(cast(o_orderkey as string), 6, '0'), 4, 3)) as canonico, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '-89.2025.7.00.0001') as longo from orders where o_orderkey < 1000000")
+def number_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x.derive(spark, sf_dir, "select o_orderkey, concat('7', lpad(cast(o_orderkey as string), 6, '0')) as d, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '8920257000001') as l from {orders} where o_orderkey < 1000000")
+    style = lambda col, name: noise.format_number(F.col(col), F.lit(name))
+    return rows.select("o_orderkey", style("d", "digitos").alias("digitos"), style("d", "canonico").alias("canonico"), style("l", "canonico").alias("longo"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    return verify_citations(spark, sf_dir)
+
+
