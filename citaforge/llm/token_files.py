@@ -1,7 +1,7 @@
 """Token-ID files: texts are tokenized and written in the order of doc_id as static range asymmetric numeral systems.
 
 A file is a table of segments, each with one shared frequency table, an index
-of its documents, and independent blocks. A block interleaves up to 1,024
+of its documents, and independent blocks. A block interleaves up to 4,096
 coder states over its ids, ends with a checksum, and is found by a checkpoint
 (its offset) in the segment's header, so blocks decode in parallel.
 
@@ -14,6 +14,8 @@ of the ids as little-endian u32, u32 words, states (u64), words (u32).
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,43 +31,102 @@ from .common import stage
 
 END_ID = 2
 SEGMENT_IDS = 1 << 22
-BLOCK_IDS = 1 << 20
-LANES = 1024
+BLOCK_IDS = 1 << 21
+LANES = 4096
 _BITS = 20
 _LOW = np.uint64(1 << 31)
 _MAGIC = b"RSG1"
-#: Distinct pieces whose ids a worker remembers; beyond it the memory is emptied.
-MEMO = 300_000
-_MEMOS: dict[str, tuple] = {}
+#: Distinct words and pieces whose ids a worker remembers (about 150 bytes each); beyond it they are forgotten.
+MEMO = 1_800_000
+_ENCODERS: dict[str, _Encoder] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer, its splitting pattern and the memory of pieces, once for each worker."""
-    if path not in _MEMOS:
+class _Encoder:
+    """Ids of texts by the tokenizers library, which is asked once for each piece.
+
+    A byte-level tokenizer splits a text by its pattern, and merges within the
+    pieces only. No piece holds a space but at its beginning, so the words
+    between single spaces have ids of their own, unless what stands before the
+    space is white space too; such texts are split as a whole. Any other
+    tokenizer gets whole texts.
+    """
+
+    def __init__(self, path: str):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _MEMOS[path] = (t, regex.compile(public_tokenizers.PATTERN), {})
-    return _MEMOS[path]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        form = json.loads(self.tokenizer.to_str())
+        first = form["pre_tokenizer"] or {}
+        self.by_pieces = form["normalizer"] is None and form["model"]["type"] == "BPE" and first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"]
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        # bytes that print stand for themselves, the others for the characters from U+0100 on, in order
+        printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.alphabet = {b: b if b in printed else next(rest) for b in range(256)}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, piece: str) -> bytes:
+        spelt = f"\u0120{piece[1:]}" if piece.isascii() and piece[:1] == " " and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(self.alphabet)
+        tokens = self.tokenizer.model.tokenize(spelt)
+        return struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
+
+    def _piece(self, piece: str) -> bytes:
+        if (found := self.pieces.get(piece)) is None:
+            found = self.pieces[piece] = self._ids(piece)
+        return found
+
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self._piece, self.pattern.findall(text)))
+
+    def _known(self, word: str) -> bytes:
+        if (found := self.words.get(word)) is None:
+            found = self.words[word] = self._word(word)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word; none if what follows may not stand alone."""
+        if word.isalpha():
+            return self._ids(" " + word)
+        if not word or word[-1].isspace():
+            return b""
+        stem = word.rstrip(".,;:!?")
+        if stem.isalpha():
+            return self._known(stem) + self._piece(word[len(stem) :])
+        left, _, right = word.partition("\n")
+        if left and right and not left[-1].isspace() and not right[0].isspace() and "\n" not in right:
+            return self._known(left) + self._piece("\n") + self._split(right)  # a lone line end is a piece of its own
+        return self._split(" " + word)
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        end, out = struct.pack("<I", end_id), []
+        if not self.by_pieces:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array([*e.ids, end_id], "<u4") for e in found]
+        if len(self.pieces) + len(self.words) > MEMO:
+            self.pieces.clear()
+            self.words.clear()
+        for text in texts:
+            first, *words = (text or "").split(" ")
+            ids = [*map(self.words.get, words)]
+            if None in ids:
+                ids = [self._known(w) if x is None else x for w, x in zip(words, ids)]
+            if first[-1:].isspace() or not first or b"" in ids:
+                out.append(np.frombuffer(self._split(text or "") + end, "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join([self._split(first), *ids, end]), "<u4"))
+        return out
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[np.ndarray]:
-    """Ids of each text, `end_id` last. Pieces are encoded by the tokenizers library once and remembered; pieces never merge with each other, so that equals encoding whole texts."""
-    t, pattern, memo = _tokenizer(path)
-    end, out = np.array([end_id], "<u4").tobytes(), []
-    for text in texts:
-        pieces = pattern.findall(text or "")
-        if new := set(pieces) - memo.keys():
-            if len(memo) > MEMO:
-                memo.clear()
-                new = set(pieces)
-            new = list(new)
-            memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(new, add_special_tokens=False))))
-        out.append(np.frombuffer(b"".join([*map(memo.__getitem__, pieces), end]), "<u4"))
-    return out
+    """Ids of each text, `end_id` last; special tokens' strings in a text are ordinary text."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    return _ENCODERS[path].encode(texts, end_id)
 
 
 def _quantized(counts: np.ndarray) -> np.ndarray:
@@ -122,7 +183,13 @@ def _decode_block(data: memoryview, slots: np.ndarray, symbols: np.ndarray, freq
 
 def encode_segment(docs: list[np.ndarray], sequence: int = 0) -> bytes:
     ids = np.concatenate(docs)
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        places = np.cumsum(counts > 0) - 1
+        index, counts = places[ids], counts[symbols]
+    else:
+        symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
     freq = _quantized(counts)
     start = np.cumsum(freq) - freq
     blocks = [_encode_block(index[i : i + BLOCK_IDS], ids[i : i + BLOCK_IDS], freq, start) for i in range(0, len(ids), BLOCK_IDS)]
