@@ -3,7 +3,7 @@
 Each document draws an exponential key whose rate is its quality weight. Of
 each source the mix takes as many complete epochs as its target holds, and
 then, in the order of the keys, the documents whose running size fits into the
-rest. The running sum of a source is found in two steps: sums of key ranges,
+rest, and the one document that fills what is left best. The running sum of a source is found in two steps: sums of key ranges,
 then the rows of the one range in which the budget ends. So no task holds a
 source.
 """
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     draw = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mark"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), mark.alias("mark"))
     slim = slim.withColumn("key", -F.log(draw) / F.col("weight")).withColumn("range", F.floor(F.lit(ranges) * (1 - F.exp(-F.col("key")))).cast("int"))
-    slim = stage(slim.select("doc_id", "source", "size", "mark", "key", "range"), "mix-keys")
+    slim = stage(slim.select("doc_id", "source", "size", "mark", "key", "range", F.monotonically_increasing_id().alias("uid")), "mix-keys")
 
     by_range = slim.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     goal = targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
@@ -82,8 +82,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     rows = slim.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range"))).drop("of", "of_range")
     inside, out = F.col("before") + F.col("range_size") <= F.col("rest"), F.col("before") >= F.col("rest")
     cols = ["doc_id", "source", "size", "source_size", "target"]
-    sure = rows.where(inside | out).select(*cols, (F.col("whole") + F.when(inside & ~out, 1).otherwise(0)).cast("long").alias("epochs"))
-    order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    sure = rows.where(inside | out).select(*cols, "whole", "uid", "key", (inside & ~out).alias("in_rest"))
+    order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "mark", "uid").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(~(inside | out)).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    edge = edge.select(*cols, (F.col("whole") + F.when(F.col("ahead") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).cast("long").alias("epochs"))
-    return sure.unionByName(edge).withColumn("taken", F.col("epochs") * F.col("size"))
+    edge = edge.withColumn("fits", F.col("ahead") + F.col("size") <= F.col("rest"))
+    edge = stage(edge.select(*cols, "whole", "rest", "ahead", "uid", "key", "fits"), "mix-edge")
+    # what is left of a source's budget, and the document outside that fills it best
+    left = edge.groupBy("source").agg(F.min("rest").alias("rest"), F.max(F.when(F.col("fits"), F.col("ahead") + F.col("size")).otherwise(0)).alias("filled"), F.min("ahead").alias("start"))
+    left = left.select(F.col("source").alias("of"), (F.col("rest") - F.greatest("filled", "start")).alias("left"))
+    spare = sure.where(~F.col("in_rest")).select("source", "uid", "key", "size").unionByName(edge.where("not fits").select("source", "uid", "key", "size"))
+    miss = F.abs(F.col("size") - F.col("left"))
+    last = spare.join(left, F.col("source").eqNullSafe(F.col("of"))).where(miss < F.col("left")).groupBy("source").agg(F.min(F.struct(miss, "key", "uid"))["uid"].alias("last_uid")).select("last_uid")
+    picked = sure.select(*cols, "uid", "whole", "in_rest").unionByName(edge.select(*cols, "uid", "whole", F.col("fits").alias("in_rest")))
+    picked = picked.join(last, F.col("uid") == F.col("last_uid"), "left")  # one row per source
+    epochs = F.col("whole") + (F.col("in_rest") | F.col("last_uid").isNotNull()).cast("int")
+    return picked.select(*cols, epochs.cast("long").alias("epochs")).withColumn("taken", F.col("epochs") * F.col("size"))
