@@ -68,7 +68,9 @@ def ball_links(prints: DataFrame) -> DataFrame:
         return fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))
 
     each = lambda b: F.struct(F.when(b < 64, flipped(F.col("fp"), b)).otherwise(F.col("fp")).alias("v"), F.when(b < 64, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")).alias("mask"), (b == 64).cast("int").alias("own"))
-    variants = prints.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(64)), each)))
+    # few bytes become 65 rows each, so they are dealt out before
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    variants = spread.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(64)), each)))
     met = variants.groupBy("v").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).where(F.bit_count("mask") + F.col("own") > 1)
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", F.col("mask"), b).bitwiseAND(F.lit(1).cast("long")) == 1)
     members = F.concat(F.transform(bits, lambda b: flipped(F.col("v"), b)), F.when(F.col("own") == 1, F.array("v")).otherwise(F.array().cast("array<bigint>")))
