@@ -429,6 +429,122 @@ def number_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", style("d", "digitos").alias("digitos"), style("d", "canonico").alias("canonico"), style("l", "canonico").alias("longo"))
 
 
+# -- single steps -------------------------------------------------------------------
+
+
+def _family(name: str) -> Callable[[Query], Query]:
+    return query(f"select documento_id, inicio, fim, trecho, classificacao, id_canonico from ({x.GOLD}) g where familia = '{name}'")
+
+
+def _of_family(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _verified(spark, sf_dir).where(F.col("familia") == name).select("documento_id", *_long("inicio", "fim"), "trecho", "classificacao", "id_canonico")
+
+
+@_family("sumula")
+def sumula_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_family(spark, sf_dir, "sumula")
+
+
+@_family("processo")
+def process_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_family(spark, sf_dir, "processo")
+
+
+@_family("dispositivo")
+def article_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_family(spark, sf_dir, "dispositivo")
+
+
+@_family("vaga")
+def vague_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_family(spark, sf_dir, "vaga")
+
+
+_TOPICS = "select concat('p', cast(p_partkey as string)) as documento_id, concat('😀 Conforme o Tema ', cast(1 + p_partkey as string), ' da repercussão geral, nega-se.') as texto from {parts}"
+
+
+@query("select concat('p', cast(p_partkey as string)) as documento_id, cast(13 as bigint) as inicio, cast(13 + length(concat('Tema ', cast(1 + p_partkey as string), ' da repercussão geral')) as bigint) as fim, 'inventada' as classificacao from part")
+def topic_always_fabricated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics are in no base; offsets count code points."""
+    texts = spark.sql(_TOPICS, parts=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return verify(texts, _base(spark, sf_dir)).select("documento_id", *_long("inicio", "fim"), "classificacao")
+
+
+_HARD = "select concat('h', cast(o_orderkey as string)) as documento_id, o_orderkey as k, concat('O valor é de R$ ', cast(1000 + o_orderkey as string), '.000,00, ', case o_orderkey % 5 when 0 then 'fls. 1234/1250' when 1 then 'em 05/08/2021 14:30' when 2 then 'cerca de 12.345 eleitores' when 3 then 'a Lei 8.112/1990' else 'CPF 123.456.789-00' end, '; nada mais.') as texto from {orders}"
+
+
+@query("select cast('' as string) as documento_id, cast('' as string) as trecho where false")
+def distractors_are_no_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts, pages, dates, quantities, acts and registrations give no span."""
+    return detect.citations(x.derive(spark, sf_dir, _HARD)).select("documento_id", "trecho")
+
+
+_MIXED = "select concat('m', cast(o_orderkey as string)) as documento_id, concat('Invoca-se o art. ', cast(1 + o_orderkey % 90 as string), 'º da CF e REsp 1.234.567/SP, no ponto.') as texto from {orders}"
+_ART = "length(concat('art. ', cast(1 + o_orderkey % 90 as string), 'º da CF'))"
+
+
+@query(f"select concat('m', cast(o_orderkey as string)) as documento_id, 'dispositivo' as familia, cast(12 as bigint) as inicio, cast(12 + {_ART} as bigint) as fim from orders union all select concat('m', cast(o_orderkey as string)), 'processo', 12 + {_ART} + 3, 12 + {_ART} + 3 + length('REsp 1.234.567/SP') from orders")
+def overlaps_are_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number whose prefix runs through a provision begins after it."""
+    return detect.citations(x.derive(spark, sf_dir, _MIXED)).select("documento_id", "familia", *_long("inicio", "fim"))
+
+
+_SENTENCES = "select o_orderkey, concat('Rel. Min. Fulano decidiu ', cast(o_orderkey as string), '. Outra frase! Fim') as texto from {orders}"
+
+
+@query("select o_orderkey, cast(0 as bigint) as inicio, cast(length(concat('Rel. Min. Fulano decidiu ', cast(o_orderkey as string), '.')) as bigint) as fim from orders union all select o_orderkey, length(concat('Rel. Min. Fulano decidiu ', cast(o_orderkey as string), '.')), length(concat('Rel. Min. Fulano decidiu ', cast(o_orderkey as string), '. Outra frase!')) from orders union all select o_orderkey, length(concat('Rel. Min. Fulano decidiu ', cast(o_orderkey as string), '. Outra frase!')), length(concat('Rel. Min. Fulano decidiu ', cast(o_orderkey as string), '. Outra frase! Fim')) from orders")
+def sentence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by place, natively; the stop of an abbreviation ends none."""
+    rows = x.derive(spark, sf_dir, _SENTENCES)
+    return rows.select("o_orderkey", F.inline(c.sentences(F.col("texto")))).select("o_orderkey", *_long("inicio", "fim"))
+
+
+_OWNERS = "select concat(cast(10000 + l_partkey as string), cast(l_linenumber as string)) as numero, concat('r', cast(l_orderkey as string)) as documento_id, cast(l_orderkey % 7 as bigint) as assinatura from {lines} group by l_partkey, l_linenumber, l_orderkey"
+
+
+@query("select numero, documento_id from (select *, count(*) over (partition by numero) as n from (select concat(cast(10000 + l_partkey as string), cast(l_linenumber as string)) as numero, concat('r', cast(l_orderkey as string)) as documento_id from lineitem group by l_partkey, l_linenumber, l_orderkey) o) z where n <= 2")
+def owners_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with at most two owners, over line items."""
+    return index.limit_owners(spark.sql(_OWNERS, lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_linenumber", "l_orderkey")))
+
+
+_LONG_OWNERS = "select concat('9999999', lpad(cast(l_partkey as string), 6, '0'), cast(l_linenumber as string)) as numero, concat('r', cast(l_orderkey as string)) as documento_id, cast(l_orderkey % 3 as bigint) as assinatura from {lines} group by l_partkey, l_linenumber, l_orderkey"
+
+
+@query("select numero, documento_id from (select concat('9999999', lpad(cast(l_partkey as string), 6, '0'), cast(l_linenumber as string)) as numero, concat('r', cast(l_orderkey as string)) as documento_id from lineitem group by l_partkey, l_linenumber, l_orderkey) o where numero in (select concat('9999999', lpad(cast(l_partkey as string), 6, '0'), cast(l_linenumber as string)) from lineitem group by l_partkey, l_linenumber having count(distinct l_orderkey % 3) <= 2)")
+def owners_that_begin_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of long numbers count by their beginnings."""
+    return index.limit_owners(spark.sql(_LONG_OWNERS, lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_linenumber", "l_orderkey")))
+
+
+@query("select o_custkey, arg_min(o_orderkey, concat('r', cast(o_orderkey as string))) as o_orderkey from orders group by o_custkey")
+def first_record_of_each_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x.derive(spark, sf_dir, "select o_custkey, o_orderkey, concat('r', cast(o_orderkey as string)) as documento_id from {orders}")
+    return index.first_by(rows, ["o_custkey"], ["o_orderkey"])
+
+
+_EDITED = "select concat('d', cast(o_orderkey as string)) as documento_id, concat('abc', cast(o_orderkey as string), 'def') as texto, cast(3 as bigint) as inicio, cast(3 + length(cast(o_orderkey as string)) as bigint) as fim from {orders}"
+
+
+@query("select documento_id, concat('XYabc', cast(o_orderkey as string), chr(10), 'def') as texto, cast(5 as bigint) as inicio, cast(5 + length(cast(o_orderkey as string)) + 1 as bigint) as fim from (select concat('d', cast(o_orderkey as string)) as documento_id, o_orderkey from orders) o")
+def noise_offset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two insertions move the offsets behind them."""
+    rows = x.derive(spark, sf_dir, _EDITED)
+    at = lambda place, order, new: F.struct(place.cast("int").alias("inicio"), F.lit(order).alias("ordem"), place.cast("int").alias("fim"), F.lit(new).alias("novo"))
+    rows = rows.withColumn("e", noise.disjoint_edits(F.array(at(F.col("fim"), 0, "\n"), at(F.lit(0), 1, "XY"))))
+    moved = lambda name: noise.translate(F.col(name).cast("int"), F.col("e")).cast("bigint").alias(name)
+    return rows.select("documento_id", noise.apply_edits(F.col("texto"), F.col("e")).alias("texto"), moved("inicio"), moved("fim"))
+
+
+@query(f"select false as repetido, 'certo' as desfecho, (select count(*) from ({_OWN}) o where numero in (select numero from ({_OWN}) q group by numero having count(*) = 1)) as n union all select true, d, cast(count(*) / 2 as bigint) from (select numero, unnest(['certo', 'outro']) as d from ({_OWN}) o where numero in (select numero from ({_OWN}) q group by numero having count(*) = 2)) z group by d")
+def coverage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ruling cited by its number: unique ones come back, of two the one cited without a class is the longer."""
+    from .plans.verify import coverage
+
+    base = _base(spark, sf_dir)
+    return coverage(base, base.registros)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_citations(spark, sf_dir)
 

@@ -131,3 +131,11 @@ def located(text: Column, pattern: str) -> Column:
 
     pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+
+
+def sentences(text: Column) -> Column:
+    """array<struct<inicio, fim>> of sentences: they end at a stop before white space or the end, unless a word of one to three letters stands before it."""
+    stop = r"(?<!\b[A-Z])(?<!\b[A-Za-z]{2})(?<!\b[A-Za-z]{3})[.!?](?=\s|$)"
+    ends = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(located(text, stop), lambda m: m["fim"]), F.array(F.length(text))))
+    pairs = F.transform(ends, lambda e, i: F.struct(F.get(ends, F.greatest(i - 1, F.lit(0))).alias("inicio"), e.alias("fim")))
+    return F.filter(pairs, lambda p: p["fim"] > p["inicio"])
