@@ -7,8 +7,9 @@ import unicodedata
 import warnings
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.workers import reachable
 
@@ -35,12 +36,12 @@ def text_paths(spark: SparkSession, folder: str) -> list[str]:
     return top
 
 
-def decode(content) -> F.Column:
+def decode(content: Column) -> Column:
     """UTF-8 with invalid bytes replaced; line ends as they are."""
     return F.decode(F.make_valid_utf8(content).cast("binary"), "UTF-8")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Composed form; Spark has no function for it."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
@@ -49,7 +50,7 @@ def nfc(texts: pd.Series) -> pd.Series:
 def from_files(files: DataFrame) -> DataFrame:
     """(documento_id, path, texto) from (path, content): the id is the name without its last suffix."""
     reachable(files.sparkSession)
-    name = F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1)
+    name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("documento_id"), "path", nfc(decode(F.col("content"))).alias("texto"))
 
 

@@ -21,7 +21,7 @@ def rows(found):
 @pytest.fixture(scope="module")
 def duck():
     link = duckdb.connect()
-    for t in "orders documents pages conversations benchmark".split():
+    for t in "orders part lineitem documents pages conversations benchmark".split():
         link.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return link
 

@@ -75,7 +75,7 @@ def base(spark):
 
 @pytest.fixture(scope="module")
 def cited(spark):
-    return spark.createDataFrame([(f"d{i:02d}", f"Cuida-se de {t}, no caso.") for i, (t, *_) in enumerate(CASES)], "documento_id string, texto string")
+    return spark.createDataFrame([(f"d{i:02d}", f"Conforme o {t}, no caso.") for i, (t, *_) in enumerate(CASES)], "documento_id string, texto string")
 
 
 def test_labels(spark, base, cited):
@@ -122,7 +122,7 @@ def test_cells_and_json(spark, base, cited, tmp_path):
     documents = cited.unionByName(spark.createDataFrame([("vazio", "nada")], "documento_id string, texto string"))
     found = verify(documents, base)
     cells = {r[0]: r[1] for r in submission.cells(documents, found).collect()}
-    assert cells["d02"] == "12,25,real,103,1.0000" and cells["vazio"] == "-" and cells["d03"].endswith(",inventada,-,1.0000") and len(cells) == len(CASES) + 1
+    assert cells["d02"] == "11,24,real,103,1.0000" and cells["vazio"] == "-" and cells["d03"].endswith(",inventada,-,1.0000") and len(cells) == len(CASES) + 1
     assert submission.write_json(submission.contract_json(documents, found, "fonte"), str(tmp_path)) == len(CASES) + 1
     data = json.loads((tmp_path / "d02.json").read_text())
     assert data["schema_version"] == "1.2" and data["citacoes"][0]["resolucao"] == {"fonte": "fonte", "id_canonico": "103"} and data["citacoes"][0]["id"] == "c1"
