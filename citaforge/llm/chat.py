@@ -1,7 +1,7 @@
 """Chat formatting: conversation events are folded into final messages, then rendered with a loss mask; built-in functions only.
 
-An event has conv_id, turn, seq, kind, role and text. Of one turn, `message`
-and `edit` set the text, `delta` appends to it, `regenerate` clears it.
+An event has conv_id, turn, message, seq, kind, role and text. Of one message,
+`message` and `edit` set the text, `delta` appends to it, `regenerate` clears it.
 
 Format: `<|role|>text<|end|>` for each turn. Inside roles and texts the
 characters backslash, `<`, `|` and `[` are written as a backslash and a letter,
@@ -37,7 +37,7 @@ def unescape(text: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """One row (conv_id, turn, role, text) per turn: its events in the order of `seq` folded into the final message.
+    """One row (conv_id, turn, role, text) per turn and `message`: its events in the order of `seq` folded into the final text.
 
     Null seq comes first, and of equal ones the smaller (kind, role, text); a
     null text counts as empty; the role is the first that is not null (else
@@ -51,7 +51,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         return F.struct(F.coalesce(acc["role"], e["role"]).alias("role"), new.alias("text"))
 
     start = F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text"))
-    folded = events.groupBy("conv_id", "turn").agg(F.aggregate(logged, start, step).alias("m"))
+    folded = events.groupBy("conv_id", "turn", "message").agg(F.aggregate(logged, start, step).alias("m"))
     return folded.select("conv_id", "turn", F.coalesce(F.col("m.role"), F.lit("")).alias("role"), F.col("m.text").alias("text"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality_model, quality_rules, simhash, suffix_dedup, token_files, warc
+from . import chat, decontaminate, mixing, oracles, pii, quality_model, quality_rules, simhash, suffix_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = "'</s>[INST] ok [/INST]'"
+    extra = spark.sql(f"select * from values (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) as t (conv_id, turn, role, text)")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = rows.select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    # each row is a message of its own, rows of equal turns too
+    events = rows.select("conv_id", "turn", F.monotonically_increasing_id().alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
     out = chat.render(chat.fold_events(events))
     turns = chat.parse(F.col("formatted"))
     learnt = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
@@ -72,4 +73,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_suffix_dedup, op4_chat, op5_quality_model, op6_mixing, op7_token_files, op8_decontaminate, op9_quality_rules, op10_simhash)}
-ORACLES: dict[str, str] = {}
+
+ORACLES = oracles.ORACLES

@@ -113,7 +113,7 @@ def test_chat(spark):
 
 def test_chat_events(spark):
     events = [(1, 0, 0, "message", "user", "q"), (1, 1, 2, "delta", "assistant", "lo"), (1, 1, 1, "delta", "assistant", "hel"), (1, 1, 3, "regenerate", None, None), (1, 1, 4, "delta", "assistant", "bye"), (1, 1, 5, "delta", None, "!"), (1, 2, 0, "message", "user", "old"), (1, 2, 9, "edit", "user", "new")]
-    df = spark.createDataFrame(events, "conv_id long, turn long, seq long, kind string, role string, text string")
+    df = spark.createDataFrame(events, "conv_id long, turn long, seq long, kind string, role string, text string").withColumn("message", F.lit("m"))
     found = sorted(tuple(r) for r in chat.fold_events(df).collect())
     assert found == [(1, 0, "user", "q"), (1, 1, "assistant", "bye!"), (1, 2, "user", "new")]
 
