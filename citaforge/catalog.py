@@ -545,6 +545,33 @@ def coverage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(base, base.registros)
 
 
+_SIMULATED = f"select familia, classificacao, count(*) as n, count(*) as no_lugar from ({x.GOLD}) g group by familia, classificacao"
+
+
+@query(_SIMULATED)
+def simulated_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opinions written anew from the base: every citation stands where the new gold says."""
+    from .operators.simulate import simulate
+
+    docs, gold = simulate(x.opinions(spark, sf_dir), x.derive(spark, sf_dir, x.GOLD).drop("k", "caminho"), _base(spark, sf_dir))
+    j = gold.join(docs, "documento_id")
+    return j.groupBy("familia", "classificacao").agg(F.count("*").alias("n"), F.count_if(F.expr("substring(texto, inicio + 1, fim - inicio)").eqNullSafe(F.col("trecho"))).alias("no_lugar"))
+
+
+@query(_SIMULATED.replace("no_lugar", "certos"))
+def simulated_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citations of simulated opinions, verified: label and id come back."""
+    from .operators.simulate import simulate
+
+    base = _base(spark, sf_dir)
+    docs, gold = simulate(x.opinions(spark, sf_dir), x.derive(spark, sf_dir, x.GOLD).drop("k", "caminho"), base)
+    named = gold.select("documento_id", F.lit(1).alias("nivel"), "inicio", "fim", F.col("classificacao").alias("classe"), F.col("id_canonico").alias("id"), "familia")
+    found = verify(docs, base).select("documento_id", "inicio", "fim", F.col("classificacao").alias("classe"), F.col("id_canonico").alias("id"))
+    pairs = evaluate.match(named, found).select("documento_id", F.col("g_inicio").alias("inicio"), ((F.col("g_classe") == F.col("p_classe")) & F.col("g_id").eqNullSafe(F.col("p_id"))).alias("certo"))
+    j = named.join(pairs, ["documento_id", "inicio"], "left")
+    return j.groupBy("familia", F.col("classe").alias("classificacao")).agg(F.count("*").alias("n"), F.count_if("certo").alias("certos"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_citations(spark, sf_dir)
 

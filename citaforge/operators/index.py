@@ -143,3 +143,41 @@ def ordered_candidates(base: Base) -> DataFrame:
     """Records of each number in the order of a lookup: longer texts first, then by documento_id."""
     joined = base.numeros.join(base.registros, "documento_id")
     return joined.withColumn("posicao", F.row_number().over(Window.partitionBy("numero").orderBy(F.desc("texto_len"), "documento_id")))
+
+
+def to_json(base: Base, path: str) -> None:
+    """The base as one JSON file, for tools that read that form; rows pass one by one, the file is as large as the tables."""
+    import json
+    from pathlib import Path
+
+    numbers: dict[str, list[str]] = {}
+    for r in base.numeros.orderBy("numero", "documento_id").toLocalIterator():
+        numbers.setdefault(r["numero"], []).append(r["documento_id"])
+    records = {r["documento_id"]: {"id": r["id_canonico"], "tribunal": r["tribunal"], "texto_len": r["texto_len"], "classe": list(r["classe"])} for r in base.registros.orderBy("documento_id").toLocalIterator()}
+    rows = lambda df, *keys: [[r[k] for k in keys] for r in df.orderBy(*keys).toLocalIterator()]
+    data = {
+        "numeros": numbers,
+        "registros": records,
+        "sumulas": rows(base.sumulas, "tribunal", "vinculante", "numero", "id_canonico"),
+        "dispositivos": rows(base.dispositivos, "codigo", "artigo", "id_canonico"),
+        "leis": {r["codigo"]: [r["lei"], r["ano"]] for r in base.leis.orderBy("codigo").toLocalIterator()},
+    }
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(data, ensure_ascii=False), encoding="utf-8")
+
+
+def from_json(spark, path: str) -> Base:
+    """The base that `to_json` wrote; a table that is missing is empty."""
+    import json
+    from pathlib import Path
+
+    data = json.loads(Path(path).read_text(encoding="utf-8"))
+    frame = lambda rows, kind: spark.createDataFrame(list(rows), kind)
+    return Base(
+        frame(((n, d) for n, owners in data["numeros"].items() for d in owners), "numero string, documento_id string"),
+        frame(((d, r["id"], r["tribunal"], r["texto_len"], r.get("classe", [])) for d, r in data["registros"].items()), "documento_id string, id_canonico bigint, tribunal string, texto_len bigint, classe array<string>"),
+        frame(((t, bool(v), int(n), int(i)) for t, v, n, i in data.get("sumulas", [])), "tribunal string, vinculante boolean, numero bigint, id_canonico bigint"),
+        frame(((c, str(a), int(i)) for c, a, i in data.get("dispositivos", [])), "codigo string, artigo string, id_canonico bigint"),
+        frame(((c, n, a) for c, (n, a) in data.get("leis", {}).items()), "codigo string, lei string, ano int"),
+        frame([], "documento_id string"),
+    )

@@ -307,3 +307,39 @@ def test_guard():
         assert guarded(lambda: 1 / 0, 5.0) is None
     with pytest.warns(UserWarning):
         assert guarded(lambda: [i for i in range(10**9)], 0.05) is None
+
+
+def test_index_as_json(spark, base, cited, tmp_path):
+    path = tmp_path / "index.json"
+    index.to_json(base, str(path))
+    data = json.loads(path.read_text())
+    assert data["numeros"]["7654321"] == ["doc_a", "doc_b"] and data["registros"]["doc_a"]["id"] == 101 and ["STF", True, 11, 203] in data["sumulas"] and data["leis"]["CPC"] == ["13105", 2015]
+    key = lambda b: sorted((r["documento_id"], r["caminho"], r["id_canonico"]) for r in verify(cited, b).collect())
+    assert key(index.from_json(spark, str(path))) == key(base)
+
+
+def test_functions_for_sql(spark):
+    from citaforge.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, "Veja o HC 555.444/RS e a Súmula 83 do STJ."), (2, None)], "k int, t string").createOrReplaceTempView("textos")
+    found = spark.sql("select k, c.* from textos, lateral detect_citations(t) c").orderBy("inicio").collect()
+    assert [(r["k"], r["trecho"], r["familia"]) for r in found] == [(1, "HC 555.444/RS", "processo"), (1, "Súmula 83 do STJ", "sumula")]
+    r = spark.sql("select identifier_digits('REsp 1.234.567/SP') d, diploma_code('Código Civil') c, court_acronym('5TJ') t, article_key('5o') a, class_marks('EDcl no RE') m, diploma_code(null) n").first()
+    assert tuple(r) == ("1234567", "CC", "STJ", "5", ["edcl", "re"], None)
+
+
+def test_simulation_is_deterministic(spark, base):
+    from citaforge.operators.simulate import simulate
+
+    text = "Conforme o HC 1.111/SP, a Súmula 1 do STJ, o art. 1 do CPC e o Tema 9, no julgado X."
+    spans = [("HC 1.111/SP", "processo", "real"), ("Súmula 1 do STJ", "sumula", "inventada"), ("art. 1 do CPC", "dispositivo", "real"), ("Tema 9", "tema", "inventada"), ("julgado X", "vaga", "incompleta")]
+    docs = spark.createDataFrame([(f"d{i}", text) for i in range(20)], "documento_id string, texto string")
+    gold = spark.createDataFrame([(f"d{i}", text.index(t), text.index(t) + len(t), f, c) for i in range(20) for t, f, c in spans], "documento_id string, inicio int, fim int, familia string, classificacao string")
+    new, moved = simulate(docs, gold, base, 7)
+    again, _ = simulate(docs.repartition(3), gold.repartition(2), base, 7)
+    texts = {r[0]: r[1] for r in new.collect()}
+    assert texts == {r[0]: r[1] for r in again.collect()} and len(set(texts.values())) > 10 and all(k.endswith("_s7") for k in texts)
+    rows = moved.collect()
+    assert len(rows) == 100 and all(texts[r["documento_id"]][r["inicio"] : r["fim"]] == r["trecho"] for r in rows)
+    assert {(r["familia"], r["id_canonico"]) for r in rows if r["classificacao"] == "real"} >= {("processo", 103)}
