@@ -39,11 +39,11 @@ def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.derive(spark, sf_dir, x.GOLD_ROWS)
+    return x.derive(spark, sf_dir, x.GOLD_ROWS).persist()
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.derive(spark, sf_dir, x.PREDICTIONS)
+    return x.derive(spark, sf_dir, x.PREDICTIONS).persist()
 
 
 def _long(*names: str) -> list:
