@@ -1,15 +1,15 @@
 """DuckDB SQL for the queries that SQL can express over whole tables.
 
 The others have none: suffix windows are bytes (3), models, sampling keys and
-fingerprints need hashes that DuckDB lacks (5, 6, 10), tokens a tokenizer (7),
-and kinds beyond the base need look-around (2). Those are held against brute
-force in the tests.
+fingerprints need hashes that DuckDB lacks (5, 6, 10), tokens a tokenizer (7).
+Those are held against brute force in the tests.
 """
 
 from __future__ import annotations
 
 from .chat import END, ESCAPES
 from .decontaminate import MIN_ITEMS, WINDOW
+from .pii import BASE, CONTEXT, KINDS
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, SYMBOLS
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -37,6 +37,47 @@ from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as te
 group by conv_id
 """
 
+# The base patterns as their contract states them; kinds beyond it stand between other characters, so they are whole runs.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": "[A-Za-z0-9]+",
+    "ssn": "[0-9-]+",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: (2 - i % 2) * cast(substr({_DIGITS}, length({_DIGITS}) - i + 1, 1) as int) - case when i % 2 = 0 and cast(substr({_DIGITS}, length({_DIGITS}) - i + 1, 1) as int) > 4 then 9 else 0 end)) % 10 = 0"
+_LETTER_VALUES = "list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)"
+_SSN = next(k for k in KINDS if k.name == "ssn")
+_NEAR = f"lower(substr(t, greatest(s - {CONTEXT}, 0) + 1, s - greatest(s - {CONTEXT}, 0)) || ' ' || substr(t, e + 1, {CONTEXT}))"
+_ACCEPT = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast('0' || right(p, 3) as int) > 255)) = 0",
+    "card": f"length({_DIGITS}) between 16 and 19 and {_LUHN}",
+    "phone": f"length({_DIGITS}) between 8 and 15",
+    "iban": f"regexp_full_match(m, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') and list_reduce(list_prepend(cast(0 as bigint), {_LETTER_VALUES}), lambda a, v: case when v < 10 then (a * 10 + v) % 97 else (a * 100 + v) % 97 end) = 1",
+    "ssn": f"regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') and regexp_matches({_NEAR}, '{_SSN.context}')",
+}
+
+
+def _spans(n: int, kind: str) -> str:
+    """Rows (id, kind, number of the kind, start, end): matches placed by the lengths of what lies before."""
+    p = _PATTERNS[kind]
+    located = f"select id, t, f[i] as m, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) as bigint) as s from (select id, t, f, g, unnest(range(1, len(f) + 1)) as i from (select id, t, regexp_extract_all(t, '{p}') as f, string_split_regex(t, '{p}') as g from d) a where len(f) > 0) b"
+    if kind in ("iban", "ssn"):  # only texts with such a run, since every word is one
+        located = located.replace("from d) a", f"from d where regexp_matches(t, '{'[A-Z]{2}[0-9]{2}[A-Z0-9]{11}' if kind == 'iban' else '[0-9]{3}-[0-9]{2}-[0-9]{4}'}')) a")
+    return f"select id, '{kind}' as kind, {n} as k, cast(s as bigint) as s, cast(e as bigint) as e from (select *, s + length(m) as e from ({located}) c) q where {_ACCEPT[kind]}"
+
+
+_LINE = "kind || ':' || s || ':' || e"
+PII = f"""
+with d as (select row_number() over () as id, doc_id, coalesce(text, '') as t from documents),
+     x as ({" union all ".join(_spans(n, k.name) for n, k in enumerate(KINDS))})
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join (select id, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in BASE)}, string_agg({_LINE}, ',' order by k, s) filter (k < {len(BASE)}) as base, string_agg({_LINE}, ',' order by k, s) as spans from x group by id) y using (id)
+"""
+
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -78,4 +119,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 from m
 """
 
-ORACLES = {"op1_warc": WARC, "op4_chat": CHAT, "op8_decontaminate": CONTAMINATION, "op9_quality_rules": QUALITY}
+ORACLES = {"op1_warc": WARC, "op2_pii": PII, "op4_chat": CHAT, "op8_decontaminate": CONTAMINATION, "op9_quality_rules": QUALITY}

@@ -153,5 +153,4 @@ def digest(pii: Column) -> list[Column]:
         *[F.size(F.filter(pii, of(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(pii, line), ",").alias("spans"),
-        F.coalesce(F.array_max(F.transform(pii, lambda x: x["score"])), F.lit(0.0)).alias("max_score"),
     ]
