@@ -8,7 +8,7 @@ their fingerprint before.
 
 `similar_documents` serves a similarity instead of a radius. A pair of texts
 that share 0.8 of their 5-word shingles differs in some 10 of 64 bits, too far
-for a ball, so eight fingerprints of 32 bits over word pairs, which small edits
+for a ball, so ten fingerprints of 32 bits over word pairs, which small edits
 touch less, are looked up each in a ball of two bits, and what meets is
 verified by 1,024 bits over the 5-word shingles.
 """
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 # -- by similarity ---------------------------------------------------------------
 
 #: Fingerprints of 32 bits in which a pair may meet, and words of the shingles that they count.
-TABLES, TABLE_SHINGLE = 8, 2
+TABLES, TABLE_SHINGLE = 10, 2
 #: Words of 64 bits of the fingerprint that verifies.
 VERIFY_WORDS = 16
 
