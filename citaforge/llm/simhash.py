@@ -8,20 +8,20 @@ their fingerprint before.
 
 `similar_documents` serves a similarity instead of a radius. A pair of texts
 that share 0.8 of their 5-word shingles differs in some 10 of 64 bits, too far
-for a ball, so ten fingerprints of 32 bits over word pairs, which small edits
-touch less, are looked up each in a ball of two bits, and what meets is
-verified by 1,024 bits over the 5-word shingles.
+for a ball, so it uses no fingerprints: by the prefix filter two such texts
+share one of the first shingles of each in an order that all texts have in
+common, and every pair that meets there is confirmed by its exact similarity.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,10 +122,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 
 # -- by similarity ---------------------------------------------------------------
 
-#: Fingerprints of 32 bits in which a pair may meet, and words of the shingles that they count.
-TABLES, TABLE_SHINGLE = 10, 2
-#: Words of 64 bits of the fingerprint that verifies.
-VERIFY_WORDS = 16
+#: Texts of which the common shingles are counted, and how many shingles are told apart by it; both set the order only.
+SAMPLE_TEXTS, COMMON = 10_000, 1 << 20
+#: Bits of an id by which texts are looked up before they are joined.
+LOOKUP_BITS = 26
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,74 +134,129 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _long_print(words: np.ndarray, shingle: int, size: int) -> np.ndarray:
-    """`size` words of 64 bits over the distinct shingles of word hashes."""
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending; all words are one if there are fewer."""
+    from xxhash import xxh64_intdigest
+
+    w = (text or b"").translate(_LOWER).split()
+    words = np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w))
     k = max(1, min(shingle, len(words)))
     grams = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for j in range(k):
         grams = grams * np.uint64(0x9FB21C651E98DF25) + words[j : len(words) - k + 1 + j]
-    grams = np.unique(_mix(grams))
-    return np.concatenate([np.packbits(_bit_counts(_mix(grams ^ salt)) * 2 > len(grams), bitorder="little").view(np.uint64) for salt in _mix(np.arange(1, size + 1, dtype=np.uint64))])
+    return np.unique(_mix(grams))
 
 
-def long_prints(text: bytes | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints of 32 bits, and the words that verify."""
+def _set_id(found: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
-    w = (text or b"").translate(_LOWER).split()
-    words = np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w))
-    return _long_print(words, TABLE_SHINGLE, TABLES // 2).view(np.int32), _long_print(words, shingle, VERIFY_WORDS)
+    return xxh64_intdigest(found.tobytes(), SEED)
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat in a sample of the texts, ascending, and how often. Common shingles come last in the order; any order gives the same links."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"h": np.concatenate([np.zeros(0, np.uint64), *[shingle_set(t, shingle) for t in utf8(b, "text")]]).view(np.int64)}
 
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE_TEXTS))) == 0)
+    counts = map_batches(some, body, T.StructType([T.StructField("h", T.LongType())])).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    found = counts.orderBy(F.col("n").desc(), "h").limit(COMMON).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
-def bit_limit(similarity: float) -> int:
-    """Bits in which texts of a similarity may differ: the expected number and one and a half standard deviations."""
-    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * VERIFY_WORDS
-    return int(n * p + 1.5 * math.sqrt(n * p * (1 - p)))
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose sets have a Jaccard similarity of `t` at least."""
+    mask = (1 << LOOKUP_BITS) - 1
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    bits = np.zeros(1 << LOOKUP_BITS, bool)
+    bits[ids.select(F.col("id").bitwiseAND(F.lit(mask).cast("long")).cast("int").alias("k")).distinct().toArrow()["k"].to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        wanted, seen = sent.value, set()
+        for b in batches:
+            ids, sets = [], []
+            for text in utf8(b, "text"):
+                found = shingle_set(text, shingle)
+                k = (i := _set_id(found)) & mask
+                if wanted[k >> 3] >> (7 - (k & 7)) & 1 and i not in seen:
+                    seen.add(i)
+                    ids.append(i)
+                    sets.append(found.view(np.int64))
+            yield {"id": pa.array(np.array(ids, np.uint64).view(np.int64)), "s": sets}
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
+    sets = stage(map_batches(docs.select("text"), body, schema), "shingle-sets").groupBy("id").agg(F.first("s").alias("s"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    shared, sizes = F.size(F.array_intersect("x", "y")).cast("long"), (F.size("x") + F.size("y")).cast("long")
+    return both.where(shared * (t.numerator + t.denominator) >= sizes * t.numerator).select("a", "b")
+
+
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row (doc_id, mark, root) per document: mark is a hash of the text, root the same for all documents of a component (see `similar_documents`)."""
+    t = Fraction(similarity).limit_denominator(10_000)
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(_common(docs, shingle))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("mark", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("head", T.ArrayType(T.LongType()))])
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        known, counts = common.value
+        for b in batches:
+            ids, sizes, heads = [], [], []
+            for text in utf8(b, "text"):
+                found = shingle_set(text, shingle)
+                n, uses = len(found), np.zeros(len(found), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    uses = np.where(known[at] == found, counts[at], 0)
+                ids.append(_set_id(found))
+                sizes.append(n)
+                # a text shares at least ceil(t n) shingles with one that is alike, so one of these
+                heads.append(found[np.argsort(uses, kind="stable")][: n + 1 + -n * t.numerator // t.denominator].view(np.int64))
+            yield {"doc_id": b.column("doc_id"), "mark": b.column("mark"), "id": pa.array(np.array(ids, np.uint64).view(np.int64)), "n": sizes, "head": heads}
+
+    prints = stage(map_batches(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")), body, schema), "shingle-heads")
+    classes = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("head").alias("head"))
+    # left: shingles from the place on; if two texts first meet there, they share no more than the lesser
+    places = classes.select("id", "n", F.posexplode("head").alias("pos", "token")).select("token", "id", "n", (F.col("n") - F.col("pos")).alias("left"))
+    group = Window.partitionBy("token")
+    places = places.withColumn("lead", F.min(F.struct("n", "id", "left")).over(group)).withColumn("last", F.max("id").over(group)).withColumn("first", F.min("id").over(group))
+    shared = stage(places.where("first <> last").drop("first", "last"), "shared-shingles")
+    enough = lambda left, size: left * (t.numerator + t.denominator) >= size * t.numerator
+    ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    # each with its group's leader, which joins what is alike in steps linear in a group
+    led = shared.where(F.col("id") != F.col("lead.id")).where(enough(F.least("left", "lead.left"), F.col("n") + F.col("lead.n")))
+    tried = stage(ordered(led.select(F.col("id").alias("a"), F.col("lead.id").alias("b"))), "pairs")
+    links = stage(_confirmed(docs, tried, shingle, t), "links")
+    roots = stage(connected(links), "roots")
+
+    # then every pair of a group that isn't joined yet
+    joined = shared.join(roots, F.col("id") == F.col("node"), "left").select("token", F.coalesce("root", "id").alias("part"), F.struct("id", "n", "left").alias("m"))
+    parts = stage(joined.groupBy("token", "part").agg(F.collect_list("m").alias("m"), F.min("m.n").alias("n"), F.max("m.left").alias("left")), "parts")
+    x, y = (parts.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("part", "m", "n", "left")]) for k in "xy")
+    meet = x.join(y, "token").where("x_part > y_part").where(enough(F.least("x_left", "y_left"), F.col("x_n") + F.col("y_n")))
+    alike = lambda p: F.transform(F.filter("y_m", lambda q: enough(F.least(p["left"], q["left"]), p["n"] + q["n"])), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b")))
+    rest = stage(ordered(meet.select(F.inline(F.flatten(F.transform("x_m", alike))))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        roots = stage(connected(links.unionByName(_confirmed(docs, rest, shingle, t))), "roots")
+    return prints.select("doc_id", "mark", "id").join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row (doc_id, component_id) per document.
 
     component_id: the smallest doc_id reachable over links of a Jaccard
-    similarity of about `similarity` or more on distinct shingles of `shingle`
-    words, as 1,024 bits tell it (0.02 is one standard deviation, and the limit
-    allows for it). Every link is verified; a pair at 0.8 meets with a
-    probability of about 0.98, and more surely through others of its group. Of all texts with
-    one fingerprint one stands for the others, and each is verified against it,
-    so work is linear in a group. Texts without words are alike; null ids are
-    ignored in the smallest id; repeated rows stay.
+    similarity of `similarity` or more on distinct shingles of `shingle` words
+    (by 64-bit hashes). Every such pair meets in a shingle and every link is
+    confirmed, but for pairs that are in one component already. Texts without
+    words are alike; null ids are ignored in the smallest id; repeated rows
+    stay.
     """
-    table_type = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("c", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.LongType()))])
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            found = [long_prints(t, shingle) for t in utf8(b, "text")]
-            yield {"doc_id": b.column("doc_id"), "c": [f[0] for f in found], "v": [f[1].view(np.int64) for f in found]}
-
-    limit = bit_limit(similarity)
-    apart = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, VERIFY_WORDS)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
-    prints = stage(map_batches(docs.select("doc_id", "text"), body, table_type).withColumn("id", F.xxhash64("c", "v")), "long-prints")
-    classes = stage(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("c").alias("c"), F.first("v").alias("v")), "long-classes")
-    # place: number of the table, then the 32 bits
-    place = lambda t, f: F.call_function("shiftleft", t.cast("long"), F.lit(32)).bitwiseOR(f.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
-    placed = stage(classes.select("id", "v", F.posexplode("c").alias("t", "f")).select("id", "v", place(F.col("t"), F.col("f")).alias("place")), "places")
-    leaders = stage(placed.groupBy("place").agg(F.min(F.struct("id", "v")).alias("x")).select("place", F.col("x.id").alias("leader"), F.col("x.v").alias("w")), "leaders")
-    own = placed.join(leaders, "place").where("id <> leader").where(apart(F.col("v"), F.col("w")) <= limit).select(F.col("id").alias("a"), F.col("leader").alias("b"))
-
-    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
-    each = lambda b: F.struct(F.when(b < 32, F.col("place").bitwiseXOR(bit(b))).otherwise(F.col("place")).alias("v"), bit(b).alias("mask"))
-    spread = leaders.select("place").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place")
-    met = spread.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(32)), each))).groupBy("v").agg(F.bit_or("mask").alias("mask")).where(F.bit_count("mask") > 1)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(32)), lambda b: F.col("mask").bitwiseAND(bit(b)) != 0)
-    members = F.array_sort(F.transform(bits, lambda b: F.when(b < 32, F.col("v").bitwiseXOR(bit(b))).otherwise(F.col("v"))))
-    # 33 places at most: each with the first and with the one before
-    pairs = F.flatten(F.transform(members, lambda m, i: F.array(F.struct(m.alias("p"), F.get(members, F.lit(0)).alias("q")), F.struct(m.alias("p"), F.get(members, F.greatest(i - 1, F.lit(0))).alias("q")))))
-    near = met.select(F.inline(pairs)).where("p <> q").distinct()
-    left, right = (leaders.select(F.col("place").alias(c), F.col("leader").alias(f"{c}_id"), F.col("w").alias(f"{c}_w")) for c in "pq")
-    across = near.join(left, "p").join(right, "q").where("p_id <> q_id").where(apart(F.col("p_w"), F.col("q_w")) <= limit).select(F.col("p_id").alias("a"), F.col("q_id").alias("b"))
-
-    roots = connected(own.unionByName(across))
-    rooted = classes.select("id", "first").join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = stage(rooted.join(smallest, "root").select("id", "component_id"), "similar")
-    return prints.select("doc_id", "id").join(known, "id").select("doc_id", "component_id")
+    rows = stage(similar_rows(docs, shingle, similarity), "similar")
+    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(smallest, "root").select("doc_id", "component_id")
