@@ -58,3 +58,11 @@ def test_near_copies_among_texts_that_share_a_passage(spark):
         texts[1000 + i] = scattered(rng, own, 7)
     want = check(spark, texts)
     assert all(want[1000 + i] == i for i in range(250))
+
+
+def test_texts_just_under_the_similarity_stay(spark):
+    rng = random.Random(32)
+    block = words(rng, 260)
+    texts = {i: block + words(rng, 39) for i in range(80)}  # all pairs at 0.767
+    want = check(spark, texts)
+    assert all(want[d] == d for d in texts)
