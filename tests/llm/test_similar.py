@@ -66,3 +66,14 @@ def test_texts_just_under_the_similarity_stay(spark):
     texts = {i: block + words(rng, 39) for i in range(80)}  # all pairs at 0.767
     want = check(spark, texts)
     assert all(want[d] == d for d in texts)
+
+
+def test_contiguous_edits_are_found(spark):
+    rng = random.Random(33)
+    texts = {}
+    for i in range(150):
+        own = words(rng, 304)
+        texts[i] = own
+        texts[200 + i] = own[:-33] + words(rng, 33) if i % 2 else own + words(rng, 74)  # at 0.802 and 0.802
+    want = check(spark, texts)
+    assert all(want[200 + i] == i for i in range(150))
