@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return t.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("final"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, ranges: int = RANGES, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, ranges: int = RANGES, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row (doc_id, source, size, source_size, target, epochs, taken) per document.
 
     epochs: how often the mix takes the document; taken: its words times that.
@@ -64,13 +64,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     texts have size 0 (taken 0, and as many epochs as the complete ones); null
     sources are one source, the last; of equal keys the smaller (doc_id, hash)
     comes first, and repeated rows are documents of their own. An empty table
-    gives an empty one.
+    gives an empty one. Columns named in `carry` come back with their rows.
     """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     draw = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mark"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), mark.alias("mark"))
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), mark.alias("mark"), *carry)
     slim = slim.withColumn("key", -F.log(draw) / F.col("weight")).withColumn("range", F.floor(F.lit(ranges) * (1 - F.exp(-F.col("key")))).cast("int"))
-    slim = stage(slim.select("doc_id", "source", "size", "mark", "key", "range", F.monotonically_increasing_id().alias("uid")), "mix-keys")
+    slim = stage(slim.select("doc_id", "source", "size", "mark", "key", "range", F.monotonically_increasing_id().alias("uid"), *carry), "mix-keys")
 
     by_range = slim.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     goal = targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     plan = stage(plan, "mix-plan").withColumnRenamed("source", "of").withColumnRenamed("range", "of_range")
     rows = slim.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range"))).drop("of", "of_range")
     inside, out = F.col("before") + F.col("range_size") <= F.col("rest"), F.col("before") >= F.col("rest")
-    cols = ["doc_id", "source", "size", "source_size", "target"]
+    cols = ["doc_id", "source", "size", "source_size", "target", *carry]
     sure = rows.where(inside | out).select(*cols, "whole", "uid", "key", (inside & ~out).alias("in_rest"))
     order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "mark", "uid").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(~(inside | out)).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
