@@ -424,7 +424,7 @@ def noise_keeps_gold_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey, cast(concat('7', lpad(cast(o_orderkey as string), 6, '0')) as string) as digitos, concat('7.', substr(lpad(cast(o_orderkey as string), 6, '0'), 1, 3), '.', substr(lpad(cast(o_orderkey as string), 6, '0'), 4, 3)) as canonico, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '-89.2025.7.00.0001') as longo from orders where o_orderkey < 1000000")
 def number_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = x.derive(spark, sf_dir, "select o_orderkey, concat('7', lpad(cast(o_orderkey as string), 6, '0')) as d, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '8920257000001') as l from {orders} where o_orderkey < 1000000")
+    rows = x.derive(spark, sf_dir, "select o_orderkey, concat('7', lpad(cast(o_orderkey as string), greatest(6, length(cast(o_orderkey as string))), '0')) as d, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '8920257000001') as l from {orders}")
     style = lambda col, name: noise.format_number(F.col(col), F.lit(name))
     return rows.select("o_orderkey", style("d", "digitos").alias("digitos"), style("d", "canonico").alias("canonico"), style("l", "canonico").alias("longo"))
 
