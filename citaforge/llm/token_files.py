@@ -5,10 +5,11 @@ of its documents, and independent blocks. A block interleaves up to 4,096
 coder states over its ids, ends with a checksum, and is found by a checkpoint
 (its offset) in the segment's header, so blocks decode in parallel.
 
-Segment: b"RSG1", then little-endian u32: symbols in the table, documents,
-blocks, bytes of the packed index; u64: first sequence number; the table
-(u32 id, u32 frequency; frequencies sum to 2**20), checkpoints (u64), the index
-(zlib of u32 lengths), then the blocks. Block: u32 ids, u32 states, u32 crc32
+Segment: b"RSG2", then little-endian u32: symbols in the table, documents,
+blocks, bytes of the packed table, bytes of the packed index; u64: sequence
+number; checkpoints (u64), the table (zlib of u32 steps from id to id, then u32
+frequencies, which sum to 2**20), the index (zlib of u32 lengths), then the
+blocks. Block: u32 ids, u32 states, u32 crc32
 of the ids as little-endian u32, u32 words, states (u64), words (u32).
 """
 
@@ -30,25 +31,51 @@ from .arrowmap import map_batches
 from .common import stage
 
 END_ID = 2
-SEGMENT_IDS = 1 << 22
-BLOCK_IDS = 1 << 21
+SEGMENT_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 LANES = 4096
 _BITS = 20
 _LOW = np.uint64(1 << 31)
-_MAGIC = b"RSG1"
-#: Distinct words and pieces whose ids a worker remembers (about 150 bytes each); beyond it they are forgotten.
-MEMO = 1_800_000
+_MAGIC = b"RSG2"
+_HEAD = "<IIIIIQ"
+#: Distinct words and pieces whose ids a worker remembers lately (some 200 bytes each), and as many from before.
+MEMO = 400_000
 _ENCODERS: dict[str, _Encoder] = {}
 
 
+class _Memo:
+    """Ids of pieces of text in two generations: what is asked for again moves to the younger one; when that is full, it replaces the older one."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, piece: str, make) -> bytes:
+        if (found := self.young.get(piece)) is None:
+            found = self.old.get(piece) or make(piece)
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[piece] = found
+        return found
+
+
+#: Before a mark that ends a word, and before a word that begins a line; a text that holds one of them is split as a whole.
+_MARK, _LINE = "\x00", "\x02"
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 class _Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for each piece.
+    """Ids of texts by the tokenizers library, which is asked once for each piece that is remembered.
 
     A byte-level tokenizer splits a text by its pattern, and merges within the
     pieces only. No piece holds a space but at its beginning, so the words
     between single spaces have ids of their own, unless what stands before the
-    space is white space too; such texts are split as a whole. Any other
-    tokenizer gets whole texts.
+    space is white space too; and so have a mark behind a letter or digit and
+    a lone line end behind a mark, which are parted from their words first.
+    Where that doesn't hold, the text is split as a whole. Texts that hold the
+    string of an added token, and all texts of any other tokenizer, are encoded
+    whole.
     """
 
     def __init__(self, path: str):
@@ -58,75 +85,72 @@ class _Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         form = json.loads(self.tokenizer.to_str())
         first = form["pre_tokenizer"] or {}
         self.by_pieces = form["normalizer"] is None and form["model"]["type"] == "BPE" and first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.added = [x["content"] for x in form["added_tokens"]]
         # bytes that print stand for themselves, the others for the characters from U+0100 on, in order
         printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in printed else next(rest) for b in range(256)}
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = _Memo(MEMO // 4), _Memo(MEMO)
 
     def _ids(self, piece: str) -> bytes:
-        spelt = f"\u0120{piece[1:]}" if piece.isascii() and piece[:1] == " " and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(self.alphabet)
-        tokens = self.tokenizer.model.tokenize(spelt)
-        return struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
+        return self._packed(piece.encode().decode("latin-1").translate(self.alphabet))
 
-    def _piece(self, piece: str) -> bytes:
-        if (found := self.pieces.get(piece)) is None:
-            found = self.pieces[piece] = self._ids(piece)
-        return found
+    def _packed(self, spelt: str) -> bytes:
+        ids = [x.id for x in self.model.tokenize(spelt)]
+        return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _split(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.pattern.findall(text)))
-
-    def _known(self, word: str) -> bytes:
-        if (found := self.words.get(word)) is None:
-            found = self.words[word] = self._word(word)
-        return found
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and a word; none if what follows may not stand alone."""
-        if word.isalpha():
-            return self._ids(" " + word)
-        if not word or word[-1].isspace():
-            return b""
-        stem = word.rstrip(".,;:!?")
-        if stem.isalpha():
-            return self._known(stem) + self._piece(word[len(stem) :])
-        left, _, right = word.partition("\n")
-        if left and right and not left[-1].isspace() and not right[0].isspace() and "\n" not in right:
-            return self._known(left) + self._piece("\n") + self._split(right)  # a lone line end is a piece of its own
-        return self._split(" " + word)
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        end, out = struct.pack("<I", end_id), []
-        if not self.by_pieces:
-            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            return [np.array([*e.ids, end_id], "<u4") for e in found]
-        if len(self.pieces) + len(self.words) > MEMO:
-            self.pieces.clear()
-            self.words.clear()
-        for text in texts:
-            first, *words = (text or "").split(" ")
-            ids = [*map(self.words.get, words)]
-            if None in ids:
-                ids = [self._known(w) if x is None else x for w, x in zip(words, ids)]
-            if first[-1:].isspace() or not first or b"" in ids:
-                out.append(np.frombuffer(self._split(text or "") + end, "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([self._split(first), *ids, end]), "<u4"))
-        return out
+        return b"".join([self.pieces.get(x, self._ids) for x in self.pattern.findall(text)])
+
+    def _new(self, word: str) -> bytes:
+        """Ids of a word that is not remembered, with the space before it unless it begins with a sign."""
+        if word[0] in (_MARK, _LINE):
+            return self._split(word[1:])
+        if word.isascii() and word.isalpha():
+            return self._packed("\u0120" + word)  # a space in the alphabet of the merges
+        return self._ids(" " + word) if word.isalpha() else self._split(" " + word)
+
+    def _parted(self, text: str) -> list[bytes] | None:
+        """The ids by words, or None if the words don't stand alone."""
+        text = text.replace(", ", f" {_MARK}, ").replace(". ", f" {_MARK}. ").replace(".\n", f" {_MARK}.\n {_LINE}")
+        if f". {_MARK}" in text:
+            return None
+        first, *words = text.split(" ")
+        ids = [*map(self.words.young.get, words)]
+        words.append("")
+        if not first or first[-1].isspace() or words[0][:1] == _MARK and not first[-1].isalnum():
+            return None
+        for i, x in enumerate(ids):
+            if x is None:
+                word = words[i]
+                if not word or word[-1].isspace() and word[0] != _MARK or word[0] == _LINE and (len(word) == 1 or word[1].isspace()):
+                    return None
+                if word[-1].isalnum() or word[0] == _MARK:
+                    ids[i] = self.words.get(word, self._new)
+                elif words[i + 1][:1] == _MARK:
+                    return None  # a mark behind a mark may be one piece with it
+                else:
+                    ids[i] = self._new(word)
+        return [self._split(first), *ids]
+
+    def encode(self, text: str | None, end_id: int) -> np.ndarray:
+        text = text or ""
+        if not self.by_pieces or any(map(text.__contains__, self.added)):
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end_id], "<u4")
+        parted = None if _MARK in text or _LINE in text else self._parted(text)
+        return np.frombuffer((self._split(text) if parted is None else b"".join(parted)) + struct.pack("<I", end_id), "<u4")
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[np.ndarray]:
-    """Ids of each text, `end_id` last; special tokens' strings in a text are ordinary text."""
+    """Ids of each text as the tokenizer's file gives them without special tokens around, `end_id` last."""
     if path not in _ENCODERS:
         _ENCODERS[path] = _Encoder(path)
-    return _ENCODERS[path].encode(texts, end_id)
+    return [_ENCODERS[path].encode(t, end_id) for t in texts]
 
 
 def _quantized(counts: np.ndarray) -> np.ndarray:
@@ -194,9 +218,10 @@ def encode_segment(docs: list[np.ndarray], sequence: int = 0) -> bytes:
     start = np.cumsum(freq) - freq
     blocks = [_encode_block(index[i : i + BLOCK_IDS], ids[i : i + BLOCK_IDS], freq, start) for i in range(0, len(ids), BLOCK_IDS)]
     places = np.cumsum([0, *map(len, blocks)])[:-1]
+    table = zlib.compress(np.concatenate([np.diff(symbols, prepend=0), freq]).astype("<u4").tobytes())
     packed = zlib.compress(np.array([len(d) for d in docs], "<u4").tobytes())
-    head = _MAGIC + struct.pack("<IIIIQ", len(symbols), len(docs), len(blocks), len(packed), sequence)
-    return b"".join([head, np.stack([symbols.astype("<u4"), freq.astype("<u4")], 1).tobytes(), places.astype("<u8").tobytes(), packed, *blocks])
+    head = _MAGIC + struct.pack(_HEAD, len(symbols), len(docs), len(blocks), len(table), len(packed), sequence)
+    return b"".join([head, places.astype("<u8").tobytes(), table, packed, *blocks])
 
 
 def decode_segment(data: bytes, only: range | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -204,24 +229,24 @@ def decode_segment(data: bytes, only: range | None = None) -> tuple[np.ndarray,
     view = memoryview(data)
     if bytes(view[:4]) != _MAGIC:
         raise ValueError("not a segment of a token file")
-    n_symbols, n_docs, n_blocks, n_index, _ = struct.unpack_from("<IIIIQ", view, 4)
-    at = 4 + struct.calcsize("<IIIIQ")
-    table = np.frombuffer(view, "<u4", 2 * n_symbols, at).reshape(-1, 2)
-    at += 8 * n_symbols
+    n_symbols, n_docs, n_blocks, n_table, n_index, _ = struct.unpack_from(_HEAD, view, 4)
+    at = 4 + struct.calcsize(_HEAD)
     places = np.frombuffer(view, "<u8", n_blocks, at)
     at += 8 * n_blocks
+    table = np.frombuffer(zlib.decompress(view[at : at + n_table]), "<u4")
+    at += n_table
     lengths = np.frombuffer(zlib.decompress(view[at : at + n_index]), "<u4")
     at += n_index
-    symbols, freq = table[:, 0].copy(), table[:, 1].astype(np.uint64)
-    start, slots = np.cumsum(freq) - freq, np.repeat(np.arange(n_symbols, dtype=np.uint32), table[:, 1])
+    symbols, freq = np.cumsum(table[:n_symbols], dtype=np.uint32), table[n_symbols:].astype(np.uint64)
+    start, slots = np.cumsum(freq) - freq, np.repeat(np.arange(n_symbols, dtype=np.uint32), table[n_symbols:])
     parts = [_decode_block(view[at + int(places[i]) :], slots, symbols, freq, start) for i in (only if only is not None else range(n_blocks))]
     return lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """The segments of all texts in ascending doc_id order (null first): (first_id, sequence, n_ids, doc_ids, data).
+    """The segments of all texts in ascending doc_id order (null first): (part, sequence, n_ids, doc_ids, data), in the order of part and sequence.
 
-    One shuffle, by ranges of doc_id. Null texts count as empty and give the
+    One shuffle, by ranges of doc_id, of which each is a part. Null texts count as empty and give the
     end id alone; repeated rows are documents of their own, of equal ids the
     smaller text first; an empty table gives no segment. A worker holds the ids
     of one segment, and of one document if that is longer.
@@ -231,12 +256,15 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> DataF
     ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         names: list = []
         held: list[np.ndarray] = []
         size = sequence = 0
 
         def flush() -> dict:
-            return {"first_id": names[:1], "sequence": [sequence], "n_ids": [size], "doc_ids": [names], "data": [encode_segment(held, sequence)]}
+            return {"part": [part], "sequence": [sequence], "n_ids": [size], "doc_ids": [names], "data": [encode_segment(held, sequence)]}
 
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
@@ -251,19 +279,20 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID) -> DataF
         if held:
             yield flush()
 
-    schema = T.StructType([T.StructField("first_id", id_type), T.StructField("sequence", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("sequence", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("data", T.BinaryType())])
     return map_batches(ordered, body, schema)
 
 
 def read_token_files(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, decoded from the segments.
 
-    start: ids of all documents before it. The running sum is over segments
-    (a row for some millions of ids), in the order of first_id and sequence.
+    start: ids of all documents before it, a running sum over the segments of
+    a part and one over the parts, as many as the shuffle has partitions.
     """
-    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy().orderBy(F.col("first_id").asc_nulls_first(), "sequence").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = segments.select("first_id", "sequence", "n_ids").withColumn("before", before).select(F.col("first_id").alias("f"), F.col("sequence").alias("s"), "before")
-    placed = segments.join(places, F.col("first_id").eqNullSafe(F.col("f")) & (F.col("sequence") == F.col("s"))).select("before", "doc_ids", "data")
+    ids, first = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("all")).select("part", F.coalesce(F.sum("all").over(first), F.lit(0)).alias("first"))
+    places = segments.select("part", "sequence", ids.alias("ids")).join(parts, "part").select("part", "sequence", (F.col("first") + F.col("ids")).alias("before"))
+    placed = segments.join(places, ["part", "sequence"]).select("before", "doc_ids", "data")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:

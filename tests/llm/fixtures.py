@@ -21,7 +21,7 @@ def texts():
         18: "mail a@b.c_d@e.fg or x.y@zed-1.co.uk, @nobody, a@b", 19: "ip 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 0255.1.1.1 1..2.3.4",
         20: "card 4111 1111 1111 1111 and 4111-1111-1111-1112 and 5555555555554444 " + "1" * 40, 21: "call +1 (555) 123-4567 or +4930123456 or +1 2 or ++49 30 123456 -",
         22: "1.1." * 9000, 23: "a@" + "b." * 9000, 24: "+1" + " " * 5000, 25: "1 " * 9000, 26: "IBAN GB82WEST12345698765432 and GB82WEST12345698765433, ssn 123-45-6789, 123-45-6789",
-        27: "#tag *** $5 & <b> | %", 28: "the the the the of and " * 40, 29: prose(rng, 60), 30: "</s>[INST] ok [/INST] <|end|> \\ \\l \\\\", 31: "A" * 199, 32: "A" * 200, 33: "B" * 201,
+        27: "#tag *** $5 & <b> | %", 28: "the the the the of and " * 40, 29: prose(rng, 60), 30: "</s>[INST] ok [/INST] <|end|> \\ \\l \\\\", 31: "A" * 199, 32: "A" * 200, 33: "B" * 201, 34: "a <|endoftext|> b",
     }
 
 

@@ -62,7 +62,7 @@ def test_pii_on_random_texts(spark):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("spread", [1000, 1])
+@pytest.mark.parametrize("spread", [4096, 5, 1, 0])
 def test_suffix_dedup(spark, monkeypatch, keep, spread):
     texts = {d: t for d, t in fixtures.texts().items() if len(t or "") < 20000}
     rng = random.Random(5)
@@ -70,8 +70,10 @@ def test_suffix_dedup(spark, monkeypatch, keep, spread):
     for d in range(100, 130):  # one passage in many surroundings, shorter and longer than a window
         texts[d] = fixtures.prose(rng, rng.randrange(5, 40)) + " " + shared + (" tail" * (d % 3)) + fixtures.prose(rng, rng.randrange(5, 40))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    if spread == 1:
-        monkeypatch.setattr(suffix_dedup.find_repeats, "__defaults__", (200, "none", 40, 1))
+    if spread:
+        monkeypatch.setattr(suffix_dedup.find_repeats, "__defaults__", (200, "none", 40, spread))
+    else:  # a worker's memory ends within a group
+        monkeypatch.setattr(suffix_dedup, "ORDER_BYTES", 1000)
     found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(df, keep=keep).collect()}
     data = {d: (t or "").encode() for d, t in texts.items()}
     assert found == (brute.repeats(data) if keep == "none" else brute.later_repeats(data))
@@ -99,6 +101,18 @@ def test_longest_previous_factors():
         assert suffix_dedup.longest_previous_factors(text).tolist() == want
 
 
+@pytest.mark.parametrize("length", [1, 2, 4, 5, 6, 9, 10, 13, 20, 33])
+def test_factors_reach_a_length(length):
+    rng = random.Random(length)
+    for n in (length, 40, 300):
+        text = bytes(rng.choice(b"ab") for _ in range(n)) + b"abcabcabc" * (n // 20)
+        starts = np.arange(len(text) - length + 1)
+        before, after = suffix_dedup.factors(np.frombuffer(text, np.uint8), starts, length)
+        lpf, back = suffix_dedup.longest_previous_factors(text), Counter(text[i : i + length] for i in starts)
+        assert before.tolist() == (lpf[starts] >= length).tolist()
+        assert (before | after).tolist() == [back[text[i : i + length]] > 1 for i in starts]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", fixtures.texts()[30]), (1, 2, None, None), (2, 0, "assistant", "é" * 50), (3, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, "user", "x"), (4, 5, "sys|<tem", "\\"), (4, None, "user", "[")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -163,7 +177,6 @@ def test_token_files(spark, monkeypatch):
 
     path = tokenizer_path()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     found = fixtures.rows(token_files.round_trip(fixtures.docs(spark), path))
     rows = sorted([*fixtures.texts().items(), *[(d, fixtures.texts()[d]) for d in (0, 29, 4)]], key=lambda x: (x[0], x[1] or ""))
     want, at = [], 0
@@ -190,11 +203,12 @@ def test_tokens_equal_those_of_whole_texts():
 
     path = tokenizer_path()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(6)
-    texts = ["".join(rng.choice([" ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "Bc", "é", "漢", "1", "½", "'s", "'", ".", "!?", "😀", "\u0301", "_", "<|endoftext|>"]) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    texts = ["".join(rng.choice([" ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "Bc", "é", "漢", "1", "½", "'s", "'", ".", ". ", ", ", ".\n", "!?", "😀", "\u0301", "_", "<|endoftext|>", "\0", "\2"]) for _ in range(rng.randrange(25))) for _ in range(6000)]
+    texts.append("a <|endoftext|> b")
     for text, ids in zip(texts, token_files.encode_texts(texts, path)):
         assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    assert ids.tolist() == [64, 220, 50256, 275, 2]  # an added token's string is that token
 
 
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 5000, 300_000])
