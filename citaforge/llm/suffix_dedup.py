@@ -10,11 +10,12 @@ partitioned by minimizer, and equal windows always meet.
 2. Minimizers that occur once have no repeated window. Where all runs of a
    minimizer cover equal bytes, each window of each run is repeated. These two
    cases need no text, and are nearly all.
-3. In the others, the runs that differ are put into suffix order (classes of
-   equal windows, by position within) and each window's previous and next
-   smaller positions in its class say whether it occurs before or after.
-   Runs of a minimizer with too many different surroundings are spread by the
-   window itself.
+3. Of the others, the bytes of each different run are put into suffix order
+   (`factors`), and each window's previous and next places in it say whether
+   its longest previous factor, or its longest next one, reaches `length`.
+4. A minimizer with very many different runs is dealt to several tasks. Each
+   settles the windows that repeat within its share; of what is left one of
+   each kind goes on, by hash, and is compared across the shares.
 
 `keep="none"` removes every occurrence, `keep="first"` leaves the first.
 """
@@ -35,11 +36,14 @@ from .common import stage
 
 LENGTH = 200
 SEED_BYTES = 40
-#: Different runs of one minimizer above which their windows are spread.
-SPREAD = 1000
+#: Different runs of one minimizer that one task puts into order; more are dealt to several.
+SPREAD = 4096
+#: Bytes of runs that are put into order at once, and bits of a place among them.
+ORDER_BYTES = 1 << 20
+_PLACE_BITS = np.uint64(21)
 #: Bytes of a text that are hashed at once; any length is handled in such pieces.
 _PIECE = 1 << 20
-_RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM, _OTHER = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -63,19 +67,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(data: np.ndarray, table: np.ndarray = _RANDOM) -> tuple[np.ndarray, np.ndarray]:
     """Running sums whose differences, scaled back, are hashes of substrings."""
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_RANDOM[data] * up[:-1], out=sums[1:])
+    np.cumsum(table[data] * up[:-1], out=sums[1:])
     return sums, down
 
 
-def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+def window_hashes(data: np.ndarray, length: int, table: np.ndarray = _RANDOM) -> np.ndarray:
     """A hash of each substring of `length` bytes."""
     if len(data) < length:
         return np.zeros(0, np.uint64)
-    sums, down = _sums(data)
+    sums, down = _sums(data, table)
     return _mix((sums[length:] - sums[:-length]) * down[: len(data) - length + 1])
 
 
@@ -130,13 +134,46 @@ def longest_previous_factors(text: bytes) -> np.ndarray:
     return lpf
 
 
-def _repeated(classes: np.ndarray, order: np.ndarray, keep: str) -> np.ndarray:
-    """Whether each window goes: it has a previous (or, unless the first stays, a next) smaller position in its class of the suffix order."""
-    by = np.lexsort((order, classes))
-    same = classes[by][1:] == classes[by][:-1]
-    before, after = np.zeros(len(by), bool), np.zeros(len(by), bool)
-    before[by[1:]], after[by[:-1]] = same, same
-    return before if keep == "first" else before | after
+def _order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their keys (below 2**42) and then of places, and the rank of each key in that order."""
+    packed = keys << _PLACE_BITS | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    top = packed >> _PLACE_BITS
+    rank = np.zeros(len(keys), np.uint64)
+    np.cumsum(top[1:] != top[:-1], out=rank[1:])
+    return (packed & np.uint64((1 << 21) - 1)).astype(np.int64), rank
+
+
+def factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the longest previous factor of each start reaches `length`, and whether the longest next one does.
+
+    `data` holds at least `length` bytes from each start (ascending), and less
+    than 2**21 in all. The suffixes are ordered by their first `length` bytes
+    (ranks of prefixes are joined to ranks of prefixes twice as long) and equal
+    ones by place. So where a suffix has `length` bytes in common with one at a
+    smaller place, its previous smaller place in the order is the neighbour
+    before it, and the next greater place likewise the neighbour behind.
+    """
+    n, depth = len(data), min(5, length)
+    padded = np.concatenate([data, np.zeros(depth, np.uint8)]).astype(np.uint64)
+    keys = np.zeros(n, np.uint64)
+    for j in range(depth):
+        keys = keys << np.uint64(8) | padded[j : n + j]
+    ranks = np.empty(n, np.uint64)
+    while True:
+        at, rank = _order(keys)
+        ranks[at] = rank
+        step = min(depth, length - depth)
+        if 2 * depth >= length:
+            break
+        keys = ranks << _PLACE_BITS
+        keys[:-step] |= ranks[step:]
+        depth += step
+    at, rank = _order(ranks[starts] << _PLACE_BITS | ranks[starts + step])
+    same = rank[1:] == rank[:-1]
+    before, after = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    before[at[1:]], after[at[:-1]] = same, same
+    return before, after
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,77 +221,121 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", seed
 
     # only groups with a run that must be told window by window
     open_ = kinds.groupBy("h").agg(F.count("*").alias("different"), F.min("c").alias("least")).where("different > 1" + (" and least = 1" if keep == "none" else ""))
-    kinds = kinds.join(open_.select(F.col("h").alias("ho"), "different"), F.col("h") == F.col("ho")).drop("ho", "least")
-    asked = kinds.groupBy("key").agg(F.collect_list(F.struct("h", "c", "s", "e", (F.col("different") > spread).alias("wide"))).alias("runs"))
+    kinds = kinds.join(open_.select(F.col("h").alias("ho"), F.ceil(F.col("different") / spread).cast("int").alias("shares")), F.col("h") == F.col("ho")).drop("ho")
+    asked = kinds.groupBy("key").agg(F.collect_list(F.struct("h", "c", "s", "e", "shares")).alias("runs"))
     texts = docs.select("key", "ord", "text").join(asked.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "ord", "text", "runs")
-    piece = T.StructType([T.StructField("h", _LONG), T.StructField("wide", T.BooleanType()), T.StructField("ask", T.BooleanType()), T.StructField("ord", row), *_PLACE[:2], T.StructField("data", T.BinaryType())])
+    place = [T.StructField("ord", row), *_PLACE[:2]]
+    piece = T.StructType([T.StructField("h", _LONG), T.StructField("shares", _INT), T.StructField("share", _INT), T.StructField("ask", T.BooleanType()), *place, T.StructField("data", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            h, wide, ask, at, s, data = [], [], [], [], [], []
-            for i, (text, asked) in enumerate(zip(utf8(b, "text"), b.column("runs").to_pylist())):
+            h, shares, share, ask, at, s, data = [], [], [], [], [], [], []
+            for i, (text, key, asked) in enumerate(zip(utf8(b, "text"), b.column("key").to_pylist(), b.column("runs").to_pylist())):
                 for r in asked:
                     h.append(r["h"])
-                    wide.append(r["wide"])
+                    shares.append(r["shares"])
+                    share.append((key ^ r["s"] * 0x9E3779B1) % r["shares"])
                     ask.append(keep == "first" or r["c"] == 1)
                     at.append(i)
                     s.append(r["s"])
                     data.append(text[r["s"] : r["e"]])
             at = pa.array(at, pa.int64())
-            yield {"h": h, "wide": wide, "ask": ask, "ord": b.column("ord").take(at), "key": b.column("key").take(at), "s": s, "data": data}
+            yield {"h": h, "shares": shares, "share": share, "ask": ask, "ord": b.column("ord").take(at), "key": b.column("key").take(at), "s": s, "data": data}
 
     # a text that occurs in several rows has one key, and is asked once
     pieces = stage(map_batches(texts.dropDuplicates(["key"]), cut, piece), "pieces")
 
+    lists = [T.StructField(c, T.ArrayType(t)) for c, t in (("first", _LONG), ("second", _LONG), ("inner", _INT), ("asks", T.BooleanType()))]
+    found = T.StructType([T.StructField("h", _LONG), T.StructField("bucket", _INT), T.StructField("ord", row), *_PLACE, *lists])
+
+    def intervals(gone: np.ndarray, piece: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, start, end) of the runs of windows that go."""
+        at, start = piece[gone], start[gone]
+        last = np.flatnonzero(np.concatenate([(at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1), [True]])) if len(at) else np.zeros(0, np.int64)
+        begin = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+        return at[last], start[begin], start[last] + length
+
+    def settled(ord_: pa.Array, key: np.ndarray, s: np.ndarray, e: np.ndarray) -> dict:
+        none = pa.nulls(len(s))
+        return {"h": none, "bucket": none, "ord": ord_, "key": pa.array(key), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), **{f.name: none for f in lists}}
+
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Groups arrive whole, one after the other; several are put into order at once."""
-        held: dict[str, list] = {k: [] for k in ("h", "rank", "ask", "key", "s", "data")}
+        """Groups arrive whole, one after the other; several are put into order at once, and one that is too large in several shares."""
+        held: list[tuple] = []
 
-        def flush() -> dict:
-            sizes = np.array([max(0, len(d) - length + 1) for d in held["data"]], np.int64)
-            hashes = np.concatenate([window_hashes(np.frombuffer(d, np.uint8), length) for d in held["data"]])
-            run, h = np.repeat(np.arange(len(sizes)), sizes), np.array(held["h"], np.int64).view(np.uint64)
+        def flush(cut_off: bool) -> Iterator[dict]:
+            hs, shares, asks, ords, keys, places, data = zip(*held)
+            sizes, places = np.array([max(0, len(d) - length + 1) for d in data], np.int64), np.array(places, np.int64)
+            run = np.repeat(np.arange(len(sizes)), sizes)
             inner = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            gone = _repeated(hashes ^ _mix(h)[run], np.array(held["rank"], np.int64)[run] * (1 << 24) + inner, keep) & np.array(held["ask"], bool)[run]
-            at = run[gone]
-            start = np.array(held["s"], np.int64)[at] + inner[gone]
-            last = np.flatnonzero(np.concatenate([(at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1), [True]])) if len(at) else np.zeros(0, np.int64)
-            begin = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-            out = {"key": np.array(held["key"], np.int64)[at[last]], "s": start[begin].astype(np.int32), "e": (start[last] + length).astype(np.int32)}
-            for x in held.values():
-                x.clear()
-            return {k: pa.array(v) for k, v in out.items()}
-
-        size, rank = 0, 0
+            base = np.cumsum([0, *map(len, data)])[:-1]
+            before, after = factors(np.frombuffer(b"".join(data), np.uint8), base[run] + inner, length)
+            ask = np.array(asks, bool)
+            gone = (before if keep == "first" else before | after) & ask[run]
+            at, s, e = intervals(gone, run, places[run] + inner)
+            ord_, key = pa.array(ords, row_type), np.array(keys, np.int64)
+            yield settled(ord_.take(pa.array(at)), key[at], s, e)
+            # what other shares of a group must see of this one
+            if shared := [i for i, n in enumerate(shares) if n > 1 or cut_off and hs[i] == hs[-1] or hs[i] == part_of[0]]:
+                rows: dict[str, list] = {f.name: [] for f in found}
+                ends = np.cumsum(sizes)
+                for i in shared:
+                    one = slice(int(ends[i] - sizes[i]), int(ends[i]))
+                    own = np.frombuffer(data[i], np.uint8)
+                    new, first, second = ~before[one], window_hashes(own, length).view(np.int64), window_hashes(own, length, _OTHER).view(np.int64)
+                    asking = ask[i] & ~gone[one]
+                    bucket = first % shares[i]
+                    for k in np.unique(bucket[new]).tolist():
+                        sel = np.flatnonzero(new & (bucket == k))
+                        for name, value in zip(rows, (hs[i], k, ords[i], keys[i], int(places[i]), None, first[sel], second[sel], sel.astype(np.int32), asking[sel])):
+                            rows[name].append(value)
+                yield rows
+            part_of[0] = hs[-1] if cut_off else None
+            held.clear()
+
+        size, part_of, row_type = 0, [None], None
         for b in batches:
-            for h, ask, key, s, data in zip(b.column("h").to_pylist(), b.column("ask").to_pylist(), b.column("key").to_pylist(), b.column("s").to_pylist(), b.column("data").to_pylist()):
-                if size > 4 << 20 and h != held["h"][-1]:
-                    yield flush()
-                    size, rank = 0, 0
-                for k, v in (("h", h), ("rank", rank), ("ask", ask), ("key", key), ("s", s), ("data", data)):
-                    held[k].append(v)
-                size, rank = size + len(data), rank + 1
-        if size:
-            yield flush()
-
-    grouped = pieces.where("not wide").repartition(F.col("h")).sortWithinPartitions("h", "ord", "key", "s")
-    out = out.unionByName(map_batches(grouped, judged, T.StructType(_PLACE)))
+            row_type = b.column("ord").type
+            for x in zip(*[b.column(c).to_pylist() for c in ("h", "shares", "ask", "ord", "key", "s", "data")]):
+                if size + len(x[-1]) > ORDER_BYTES:
+                    yield from flush(x[0] == held[-1][0])
+                    size = 0
+                held.append(x)
+                size += len(x[-1])
+        if held:
+            yield from flush(False)
+
+    grouped = pieces.repartition("h", "share").sortWithinPartitions("h", "ord", "key", "s")
+    seen = stage(map_batches(grouped, judged, found), "factors")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Windows of different shares, a bucket of their hashes at a time, in the order of places."""
+        held: list[tuple] = []
 
-    wide_type = T.StructType([T.StructField("w", _LONG), T.StructField("ask", T.BooleanType()), T.StructField("ord", row), *_PLACE[:2]])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def flush() -> dict:
+            _, _, ords, keys, places, first, second, inner, asks = zip(*held)
+            piece = np.repeat(np.arange(len(held)), [len(x) for x in inner])
+            first, second, inner, asks = (np.concatenate([np.array(y) for y in x]) for x in (first, second, inner, asks))
+            by = np.lexsort((np.arange(len(first)), second, first))
+            same = (first[by][1:] == first[by][:-1]) & (second[by][1:] == second[by][:-1])
+            before, after = np.zeros(len(by), bool), np.zeros(len(by), bool)
+            before[by[1:]], after[by[:-1]] = same, same
+            at, s, e = intervals((before if keep == "first" else before | after) & asks.astype(bool), piece, np.array(places, np.int64)[piece] + inner)
+            held.clear()
+            return settled(pa.array(ords, row_type).take(pa.array(at)), np.array(keys, np.int64)[at], s, e)
+
+        row_type = None
         for b in batches:
-            found = [window_hashes(np.frombuffer(d, np.uint8), length) ^ _mix(np.array([h], np.int64).view(np.uint64)) for h, d in zip(b.column("h").to_pylist(), b.column("data").to_pylist())]
-            n = np.array([len(f) for f in found], np.int64)
-            at = np.repeat(np.arange(len(n)), n)
-            s = b.column("s").to_numpy()[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            at = pa.array(at)
-            yield {"w": pa.array(np.concatenate(found).view(np.int64)), "ask": b.column("ask").take(at), "ord": b.column("ord").take(at), "key": b.column("key").take(at), "s": pa.array(s.astype(np.int32))}
+            row_type = b.column("ord").type
+            for x in zip(*[b.column(c).to_pylist() for c in ("h", "bucket", "ord", "key", "s", "first", "second", "inner", "asks")]):
+                if held and held[-1][:2] != x[:2]:
+                    yield flush()
+                held.append(x)
+        if held:
+            yield flush()
 
-    each = map_batches(pieces.where("wide"), windows, wide_type)
-    seen = each.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("ord", "key", "s")).alias("first")).where("n > 1").select(F.col("w").alias("ww"), *(["first"] if first else []))
-    gone = each.where("ask").join(seen, F.col("w") == F.col("ww")).where(later)
-    return out.unionByName(gone.select("key", "s", (F.col("s") + length).cast("int").alias("e")))
+    crossing = seen.where("h is not null").repartition("h", "bucket").sortWithinPartitions("h", "bucket", "ord", "key", "s")
+    return out.unionByName(seen.where("h is null").select("key", "s", "e")).unionByName(map_batches(crossing, across, found).select("key", "s", "e"))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, keep: str = "first", with_text: bool = False) -> DataFrame:
@@ -264,7 +345,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep: str = "first", with
     overlapping occurrences count; strings are judged on the input. Rows that
     repeat doc_id and text are copies of each other (keep="first" keeps one
     text, in each of its rows). Order for "first": doc_id, null first, then a
-    hash of the text. Texts shorter than `length` stay whole.
+    hash of the text. Texts shorter than `length` stay whole; texts of any
+    length are taken in pieces; an empty table gives an empty one; other columns
+    are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("key"), F.col("doc_id").alias("ord"), "text")
