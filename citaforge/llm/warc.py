@@ -15,6 +15,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +26,11 @@ from .arrowmap import map_batches, utf8
 from .common import stage
 
 #: Bytes of a record's block above which it is segmented, of a transfer chunk, and of an archive.
-SEGMENT_BYTES = 1 << 16
-CHUNK_BYTES = 1 << 14
+SEGMENT_BYTES = 1 << 12
+CHUNK_BYTES = 1 << 10
 ARCHIVE_BYTES = 8 << 20
+#: WARC-Date of all records, since the pages have no time of their own.
+DATE = "2024-01-01T00:00:00Z"
 _CRLF = b"\r\n"
 _ARCHIVE = T.StructType([T.StructField("archive", T.StringType()), T.StructField("segmented", T.BooleanType()), T.StructField("data", T.BinaryType())])
 _RECORD = T.StructType([T.StructField(n, t) for n, t in (("page", T.StringType()), ("record_type", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("refers_to", T.StringType()))])
@@ -56,8 +59,8 @@ def unchunked(data: bytes) -> bytes:
         at = end + 4 + size
 
 
-def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
-    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
+def _record(fields: list[tuple[str, str]], block: bytes, date: str = DATE) -> bytes:
+    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("WARC-Date", date), ("Content-Length", str(len(block)))])
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress(b"WARC/1.1\r\n" + head.encode() + _CRLF + block + _CRLF + _CRLF) + pack.flush()
 
@@ -66,23 +69,28 @@ def _clean(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def response_records(record_id: str, url: str | None, payload: bytes, limit: int = SEGMENT_BYTES) -> list[bytes]:
+def info_record(archive: str, date: str = DATE) -> bytes:
+    """The record that an archive begins with."""
+    return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:archive:{archive}>"), ("WARC-Filename", archive), ("Content-Type", "application/warc-fields")], b"software: citaforge\r\nformat: WARC File Format 1.1\r\n", date)
+
+
+def response_records(record_id: str, url: str | None, payload: bytes, limit: int = SEGMENT_BYTES, date: str = DATE) -> list[bytes]:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     common = [("WARC-Target-URI", _clean(url))]
     first = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{record_id}>"), *common, ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http;msgtype=response")]
     if len(block) <= limit:
-        return [_record(first, block)]
+        return [_record(first, block, date)]
     out, parts = [], [block[i : i + limit] for i in range(0, len(block), limit)]
     for n, part in enumerate(parts, 1):
         fields = first if n == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{record_id}:{n}>"), *common, ("WARC-Segment-Origin-ID", f"<{record_id}>")]
-        out.append(_record([*fields, ("WARC-Segment-Number", str(n)), *([("WARC-Segment-Total-Length", str(len(block)))] if n == len(parts) else [])], part))
+        out.append(_record([*fields, ("WARC-Segment-Number", str(n)), *([("WARC-Segment-Total-Length", str(len(block)))] if n == len(parts) else [])], part, date))
     return out
 
 
-def revisit_record(record_id: str, url: str | None, payload_digest: str, payload_bytes: int, refers_to: str) -> bytes:
+def revisit_record(record_id: str, url: str | None, payload_digest: str, payload_bytes: int, refers_to: str, date: str = DATE) -> bytes:
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-    return _record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Target-URI", _clean(url)), ("WARC-Profile", profile), ("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("Content-Type", "application/http;msgtype=response")], block)
+    return _record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Target-URI", _clean(url)), ("WARC-Profile", profile), ("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("Content-Type", "application/http;msgtype=response")], block, date)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -117,9 +125,8 @@ def payload_of(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _page(record_id: str) -> str | None:
-    """The page of a record id `urn:page:<page>:<partition>.<number>`."""
-    page = record_id.strip("<>").split(":")[2]
-    return page or None
+    """The page of a record id `urn:page:<page, percent-encoded>:<partition>.<number>`."""
+    return unquote(record_id.strip("<>").split(":")[2]) or None
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:
@@ -136,14 +143,15 @@ def _columns(rows: list[tuple]) -> dict[str, list]:
     return dict(zip(_RECORD.names, map(list, zip(*rows)) if rows else [[] for _ in _RECORD.names]))
 
 
-def write_archives(pages: DataFrame, least: int = 0, limit: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives (archive, segmented, data) with a record for each row (page_id, url, html).
+def write_archives(pages: DataFrame, least: int = 0, limit: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
+    """Archives (archive, segmented, data) with a record for each row (page_id, url, html), or more where its block is over `limit`.
 
     Of pages with equal payloads of at least `least` bytes the one with the
     smallest page_id is the response; the others revisit it. Rows that repeat a
     page_id with an equal payload are all alike. Null html is empty; pages with
-    a null id are responses unless an equal payload has an id. The html is
-    shuffled once, by digest; the join may split a hot digest.
+    a null id are responses unless an equal payload has an id. Ids may hold any
+    characters; an empty table gives no archive; other columns are not read. The
+    html is shuffled once, by digest; the join may split a hot digest.
     """
     data = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     marked = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.concat_ws(":", F.sha1(data), F.length(data)).alias("mark"), F.length(data).alias("size"))
@@ -154,21 +162,23 @@ def write_archives(pages: DataFrame, least: int = 0, limit: int = SEGMENT_BYTES,
         from pyspark import TaskContext
 
         part, number, open_ = TaskContext.get().partitionId(), 0, {False: [], True: []}
-        made = {False: 0, True: 0}
+        made, size = {False: 0, True: 0}, {False: 0, True: 0}
 
         def flush(segmented: bool) -> dict:
-            data = b"".join(open_[segmented])
-            open_[segmented], made[segmented] = [], made[segmented] + 1
-            return {"archive": [f"part-{part:05d}-{made[segmented]:05d}{'-segments' * segmented}.warc.gz"], "segmented": [segmented], "data": [data]}
+            name = f"part-{part:05d}-{made[segmented]:05d}{'-segments' * segmented}.warc.gz"
+            data = b"".join([info_record(name, date), *open_[segmented]])
+            open_[segmented], made[segmented], size[segmented] = [], made[segmented] + 1, 0
+            return {"archive": [name], "segmented": [segmented], "data": [data]}
 
         for b in batches:
             for page, url, html, refers in zip(b.column("page").to_pylist(), b.column("url").to_pylist(), utf8(b, "html"), b.column("refers_to").to_pylist()):
-                name, payload = f"urn:page:{page or ''}:{part}.{number}", html or b""
+                name, payload = f"urn:page:{quote(page or '', safe='')}:{part}.{number}", html or b""
                 number += 1
-                records = response_records(name, url, payload, limit) if refers is None else [revisit_record(name, url, digest(payload), len(payload), f"urn:page:{refers}")]
+                records = response_records(name, url, payload, limit, date) if refers is None else [revisit_record(name, url, digest(payload), len(payload), f"urn:page:{quote(refers, safe='')}", date)]
                 segmented = len(records) > 1
                 open_[segmented] += records
-                if sum(map(len, records)) > archive_bytes or len(open_[segmented]) % 64 == 0 and sum(map(len, open_[segmented])) > archive_bytes:
+                size[segmented] += sum(map(len, records))
+                if size[segmented] > archive_bytes:
                     yield flush(segmented)
         for segmented in (False, True):
             if open_[segmented]:
@@ -206,12 +216,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for data in b.column("data"):
-                yield _columns([_row(f, block) for f, block in parse_archive(data.as_buffer())])
+                yield _columns([_row(f, block) for f, block in parse_archive(data.as_buffer()) if f["warc-type"] != "warcinfo"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for data in b.column("data"):
-                rows = [(f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, json.dumps(f), block) for f, block in parse_archive(data.as_buffer())]
+                rows = [(f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, json.dumps(f), block) for f, block in parse_archive(data.as_buffer()) if f["warc-type"] != "warcinfo"]
                 yield dict(zip(("origin", "number", "total", "fields", "block"), map(list, zip(*rows))))
 
     segment = T.StructType([T.StructField("origin", T.StringType()), T.StructField("number", T.LongType()), T.StructField("total", T.LongType()), T.StructField("fields", T.StringType()), T.StructField("block", T.BinaryType())])
