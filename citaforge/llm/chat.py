@@ -36,12 +36,32 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
 
 
+def logged_events(messages: DataFrame) -> DataFrame:
+    """The log of streamed answers that `fold_events` undoes: events (conv_id, turn, message, seq, kind, role, text) for each row (conv_id, turn, role, text).
+
+    An assistant's text is begun, thrown away by a regeneration and streamed
+    anew in deltas of a third; any other text is sent as a draft and edited.
+    Each row is a message of its own, rows of equal turns too; null texts stay
+    null in one event.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    event = lambda seq, kind, said: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), said.alias("said"))
+    part = lambda k: F.substring(text, third * k + 1, third)
+    streamed = F.array(event(0, "message", F.col("text")), event(1, "delta", F.lit(" (unfinished")), event(2, "regenerate", F.lit(None).cast("string")), *[event(3 + k, "delta", part(k)) for k in range(3)])
+    edited = F.array(event(0, "message", F.lit("draft")), event(1, "edit", F.col("text")))
+    rows = messages.select("conv_id", "turn", F.monotonically_increasing_id().alias("message"), "role", F.when(F.col("role") == "assistant", streamed).otherwise(edited).alias("log"))
+    return rows.select("conv_id", "turn", "message", "role", F.inline("log")).select("conv_id", "turn", "message", "seq", "kind", "role", F.col("said").alias("text"))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """One row (conv_id, turn, role, text) per turn and `message`: its events in the order of `seq` folded into the final text.
 
     Null seq comes first, and of equal ones the smaller (kind, role, text); a
     null text counts as empty; the role is the first that is not null (else
-    empty). Unknown kinds count as message.
+    empty). Unknown kinds count as message; repeated events count as often as
+    they occur; an empty log gives an empty table. A group is one message, not a
+    conversation, so that a long conversation is folded in many tasks.
     """
     logged = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text")))
 

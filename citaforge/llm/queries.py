@@ -28,9 +28,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "'</s>[INST] ok [/INST]'"
     extra = spark.sql(f"select * from values (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) as t (conv_id, turn, role, text)")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    # each row is a message of its own, rows of equal turns too
-    events = rows.select("conv_id", "turn", F.monotonically_increasing_id().alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    out = chat.render(chat.fold_events(events))
+    out = chat.render(chat.fold_events(chat.logged_events(rows)))
     turns = chat.parse(F.col("formatted"))
     learnt = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
     return out.select(

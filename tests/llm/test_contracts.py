@@ -132,6 +132,15 @@ def test_chat_events(spark):
     assert found == [(1, 0, "user", "q"), (1, 1, "assistant", "bye!"), (1, 2, "user", "new")]
 
 
+def test_chat_logs_fold_back(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", fixtures.texts()[30]), (1, 1, "assistant", "b"), (2, 0, "assistant", "é😀漢" * 7), (2, 1, "assistant", None), (2, 2, "assistant", ""), (3, None, None, None), (None, 0, "user", fixtures.texts()[17]), (4, 0, "user", "twice"), (4, 0, "user", "twice")]
+    log = chat.logged_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds == {"message": 10, "delta": 20, "regenerate": 5, "edit": 5}
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, chat.fold_events(log).collect()), key=key) == sorted([(c, n, r or "", t or "") for c, n, r, t in rows], key=key)
+
+
 def test_mixing(spark):
     df = fixtures.docs(spark)
     found = fixtures.rows(mixing.mix(df))
@@ -301,6 +310,17 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_splits_pages_and_keeps_ids(spark):
+    ids = ["a:b", "x/y %20", "é<>", "plain", "1.2"]
+    df = spark.createDataFrame([(x, "http://h", f"{x} " * 900 * k) for k, x in enumerate(ids)], "page_id string, url string, html string")
+    archives = warc.write_archives(df).collect()
+    records = [(r["segmented"], f) for r in archives for f, _ in warc.parse_archive(bytes(r["data"]))]
+    kinds = Counter((cut, f["warc-type"]) for cut, f in records)
+    assert kinds[True, "response"] > 0 and kinds[True, "continuation"] > kinds[True, "response"] and kinds[False, "response"] > 0
+    assert kinds[True, "warcinfo"] + kinds[False, "warcinfo"] == len(archives) and all("warc-date" in f and "warc-record-id" in f for _, f in records)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.round_trip(df).collect()) == sorted((x, len((f"{x} " * 900 * k).encode())) for k, x in enumerate(ids))
+
+
 def test_warc_segments_are_verified(spark):
     records = warc.response_records("urn:page:1:0.0", "u", b"payload" * 5000, 1000)
     data = b"".join(random.Random(1).sample(records, len(records)))
