@@ -124,7 +124,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 
 #: Texts of which the common shingles are counted, and how many shingles are told apart by it; both set the order only.
 SAMPLE_TEXTS, COMMON = 10_000, 1 << 20
-#: Bits of an id by which texts are looked up before they are joined.
+#: Members of one part of a shingle's group that are gathered in a row; more make several rows.
+GATHERED = 500
+#: Bits of an id by which texts are looked up before they are joined; the filter has 2 ** (LOOKUP_BITS - 3) bytes at any size of the corpus.
 LOOKUP_BITS = 26
 
 
@@ -171,10 +173,13 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
     """Those of the pairs (a, b) of ids whose sets have a Jaccard similarity of `t` at least."""
     mask = (1 << LOOKUP_BITS) - 1
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = np.zeros(1 << LOOKUP_BITS, bool)
-    bits[ids.select(F.col("id").bitwiseAND(F.lit(mask).cast("long")).cast("int").alias("k")).distinct().toArrow()["k"].to_numpy()] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.col("id").bitwiseAND(F.lit(mask).cast("long")).alias("k"))
+    # a filter of fixed size: 2 ** (LOOKUP_BITS - 6) words at most
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = ids.groupBy(F.shiftright("k", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("bits")).toArrow()
+    filled = np.zeros(1 << LOOKUP_BITS - 6, np.int64)
+    filled[words["w"].to_numpy()] = words["bits"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         wanted, seen = sent.value, set()
@@ -183,7 +188,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) ->
             for text in utf8(b, "text"):
                 found = shingle_set(text, shingle)
                 k = (i := _set_id(found)) & mask
-                if wanted[k >> 3] >> (7 - (k & 7)) & 1 and i not in seen:
+                if wanted[k >> 3] >> (k & 7) & 1 and i not in seen:
                     seen.add(i)
                     ids.append(i)
                     sets.append(found.view(np.int64))
@@ -235,9 +240,12 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     links = stage(_confirmed(docs, tried, shingle, t), "links")
     roots = stage(connected(links), "roots")
 
-    # then every pair of a group that isn't joined yet
+    # then every pair of a group that isn't joined yet; groups of one part have none
     joined = shared.join(roots, F.col("id") == F.col("node"), "left").select("token", F.coalesce("root", "id").alias("part"), F.struct("id", "n", "left").alias("m"))
-    parts = stage(joined.groupBy("token", "part").agg(F.collect_list("m").alias("m"), F.min("m.n").alias("n"), F.max("m.left").alias("left")), "parts")
+    alone, own = Window.partitionBy("token"), Window.partitionBy("token", "part")
+    joined = joined.withColumn("other", F.min("part").over(alone) != F.max("part").over(alone)).where("other").drop("other")
+    joined = joined.withColumn("share", F.pmod(F.xxhash64("m.id"), F.ceil(F.count("*").over(own) / GATHERED)))
+    parts = stage(joined.groupBy("token", "part", "share").agg(F.collect_list("m").alias("m"), F.min("m.n").alias("n"), F.max("m.left").alias("left")), "parts")
     x, y = (parts.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("part", "m", "n", "left")]) for k in "xy")
     meet = x.join(y, "token").where("x_part > y_part").where(enough(F.least("x_left", "y_left"), F.col("x_n") + F.col("y_n")))
     alike = lambda p: F.transform(F.filter("y_m", lambda q: enough(F.least(p["left"], q["left"]), p["n"] + q["n"])), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b")))
