@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share; a local session that names none gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,8 +46,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_stages(spark: SparkSession) -> None:
-    """Deletes the tables that this process has staged; only after the results that read them are written."""
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+def staged() -> int:
+    """How many staged tables of this process there are."""
+    return len(_STAGED)
+
+
+def clear_stages(spark: SparkSession, begin: int = 0, end: int | None = None) -> None:
+    """Deletes the tables that this process has staged, those from `begin` to `end`; only after the results that read them are written."""
+    for name in _STAGED[begin:end]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _STAGED[begin:end]
