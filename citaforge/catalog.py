@@ -350,13 +350,16 @@ def split_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.derive(spark, sf_dir, f"select o_orderkey, {_UNIT} as t from {{orders}}").select("o_orderkey", F.inline(F.array(c.split_unit(F.col("t")))))
 
 
-_NOISY = "concat('REsp ', replace(replace(concat('1', lpad(cast(o_orderkey as string), 6, '0')), '0', 'O'), '5', 'S'), '/MG')"
+#: The key of an order in six digits at least.
+_SIX = "lpad(cast(o_orderkey as string), greatest(6, length(cast(o_orderkey as string))), '0')"
+_SIX_SQL = "lpad(cast(o_orderkey as string), cast(greatest(6, length(cast(o_orderkey as string))) as integer), '0')"
+_NOISY = f"concat('REsp ', replace(replace(concat('1', {_SIX}), '0', 'O'), '5', 'S'), '/MG')"
 
 
-@query("select o_orderkey, concat('1', lpad(cast(o_orderkey as string), 6, '0')) as numero from orders where regexp_matches(cast(o_orderkey as string), '[1-46-9]')")
+@query(f"select o_orderkey, concat('1', {_SIX_SQL}) as numero from orders")
 def noisy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers read back through the noise."""
-    rows = x.derive(spark, sf_dir, f"select o_orderkey, {_NOISY} as t from {{orders}} where cast(o_orderkey as string) rlike '[1-46-9]'")
+    rows = x.derive(spark, sf_dir, f"select o_orderkey, {_NOISY} as t from {{orders}}")
     return rows.select("o_orderkey", c.identifier_digits(F.col("t")).alias("numero"))
 
 
@@ -422,9 +425,9 @@ def noise_keeps_gold_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("documento_id").agg(F.bool_and(F.expr("substring(texto, inicio + 1, fim - inicio)").eqNullSafe(F.col("trecho"))).alias("no_lugar"), F.count("*").alias("n"))
 
 
-@query("select o_orderkey, cast(concat('7', lpad(cast(o_orderkey as string), 6, '0')) as string) as digitos, concat('7.', substr(lpad(cast(o_orderkey as string), 6, '0'), 1, 3), '.', substr(lpad(cast(o_orderkey as string), 6, '0'), 4, 3)) as canonico, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '-89.2025.7.00.0001') as longo from orders where o_orderkey < 1000000")
+@query(f"select o_orderkey, concat('7', {_SIX_SQL}) as digitos, replace(format('{{:,}}', cast(concat('7', {_SIX_SQL}) as bigint)), ',', '.') as canonico, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '-89.2025.7.00.0001') as longo from orders")
 def number_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = x.derive(spark, sf_dir, "select o_orderkey, concat('7', lpad(cast(o_orderkey as string), greatest(6, length(cast(o_orderkey as string))), '0')) as d, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '8920257000001') as l from {orders}")
+    rows = x.derive(spark, sf_dir, f"select o_orderkey, concat('7', {_SIX}) as d, concat('12345', lpad(cast(o_orderkey % 100 as string), 2, '0'), '8920257000001') as l from {{orders}}")
     style = lambda col, name: noise.format_number(F.col(col), F.lit(name))
     return rows.select("o_orderkey", style("d", "digitos").alias("digitos"), style("d", "canonico").alias("canonico"), style("l", "canonico").alias("longo"))
 

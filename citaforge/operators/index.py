@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from ..functions.columns import strip_accents
 from ..functions.workers import reachable
-from .guard import guarded
 from .records import precedent, provision
 from .rulings import METHODS, identifying_region, own_class, own_numbers
 
@@ -67,7 +66,7 @@ def _read(method: str, schema: pa.Schema):
             for nature, court, text in zip(b.column("natureza").to_pylist(), b.column("tribunal").to_pylist(), b.column("texto").to_pylist()):
                 row: dict = {}
                 if nature == "acordao":
-                    row = guarded(lambda t=text, c=court: {"numeros": own_numbers(identifying_region(t, c, method)), "classe": own_class(t, c)}, 120.0) or {"numeros": [], "classe": []}
+                    row = {"numeros": own_numbers(identifying_region(text, court, method)), "classe": own_class(text, court)}
                 elif nature == "sumula":
                     row = {"sumula": precedent(text, court)}
                 elif nature == "dispositivo":
