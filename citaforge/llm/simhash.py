@@ -122,8 +122,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 
 # -- by similarity ---------------------------------------------------------------
 
-#: Texts of which the common shingles are counted, and how many shingles are told apart by it; both set the order only.
-SAMPLE_TEXTS, COMMON = 10_000, 1 << 20
+#: One text in so many is sampled to count the common shingles, and how many shingles are told apart by it; both set the order only.
+SAMPLED, COMMON = 4, 1 << 20
 #: Members of one part of a shingle's group that are gathered in a row; more make several rows.
 GATHERED = 500
 #: Bits of an id by which texts are looked up before they are joined; the filter has 2 ** (LOOKUP_BITS - 3) bytes at any size of the corpus.
@@ -162,7 +162,7 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             yield {"h": np.concatenate([np.zeros(0, np.uint64), *[shingle_set(t, shingle) for t in utf8(b, "text")]]).view(np.int64)}
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE_TEXTS))) == 0)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).distinct()
     counts = map_batches(some, body, T.StructType([T.StructField("h", T.LongType())])).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     found = counts.orderBy(F.col("n").desc(), "h").limit(COMMON).toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
@@ -201,6 +201,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) ->
     return both.where(shared * (t.numerator + t.denominator) >= sizes * t.numerator).select("a", "b")
 
 
+def _parted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of shingles with their texts' components as `part`; shingles that one component alone has have no further pairs."""
+    own = Window.partitionBy("token")
+    rows = shared.join(roots, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("root", "id")).drop("node", "root")
+    return rows.withColumn("alone", F.min("part").over(own) == F.max("part").over(own)).where("not alone").drop("alone")
+
+
 def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row (doc_id, mark, root) per document: mark is a hash of the text, root the same for all documents of a component (see `similar_documents`)."""
     t = Fraction(similarity).limit_denominator(10_000)
@@ -229,27 +236,27 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     # left: shingles from the place on; if two texts first meet there, they share no more than the lesser
     places = classes.select("id", "n", F.posexplode("head").alias("pos", "token")).select("token", "id", "n", (F.col("n") - F.col("pos")).alias("left"))
     group = Window.partitionBy("token")
-    places = places.withColumn("lead", F.min(F.struct("n", "id", "left")).over(group)).withColumn("last", F.max("id").over(group)).withColumn("first", F.min("id").over(group))
-    shared = stage(places.where("first <> last").drop("first", "last"), "shared-shingles")
+    places = places.withColumn("one", F.min("id").over(group) == F.max("id").over(group))
+    shared = stage(places.where("not one").drop("one"), "shared-shingles")
     enough = lambda left, size: left * (t.numerator + t.denominator) >= size * t.numerator
     ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    # each with its group's leader, which joins what is alike in steps linear in a group
-    led = shared.where(F.col("id") != F.col("lead.id")).where(enough(F.least("left", "lead.left"), F.col("n") + F.col("lead.n")))
-    tried = stage(ordered(led.select(F.col("id").alias("a"), F.col("lead.id").alias("b"))), "pairs")
-    links = stage(_confirmed(docs, tried, shingle, t), "links")
+    # The text most of whose first shingles others have too leads a group: an original leads its copies, which differ from each other twice as much.
+    hubs = stage(shared.groupBy("id").agg((F.count("*") / F.greatest(F.max("n"), F.lit(1))).alias("hub")), "hubs")
+    leader = F.max(F.struct("hub", "id", "n", "left")).over(group)
+    led = shared.join(hubs, "id").withColumn("lead", leader).where(F.col("id") != F.col("lead.id")).where(enough(F.least("left", "lead.left"), F.col("n") + F.col("lead.n")))
+    asked = stage(ordered(led.select(F.col("id").alias("a"), F.col("lead.id").alias("b"))), "pairs")
+    links = stage(_confirmed(docs, asked, shingle, t), "links")
     roots = stage(connected(links), "roots")
 
-    # then every pair of a group that isn't joined yet; groups of one part have none
-    joined = shared.join(roots, F.col("id") == F.col("node"), "left").select("token", F.coalesce("root", "id").alias("part"), F.struct("id", "n", "left").alias("m"))
-    alone, own = Window.partitionBy("token"), Window.partitionBy("token", "part")
-    joined = joined.withColumn("other", F.min("part").over(alone) != F.max("part").over(alone)).where("other").drop("other")
-    joined = joined.withColumn("share", F.pmod(F.xxhash64("m.id"), F.ceil(F.count("*").over(own) / GATHERED)))
+    # then every pair of a group that isn't joined yet
+    joined = _parted(shared, roots).select("token", "part", F.struct("id", "n", "left").alias("m"))
+    joined = joined.withColumn("share", F.pmod(F.xxhash64("m.id"), F.ceil(F.count("*").over(Window.partitionBy("token", "part")) / GATHERED)))
     parts = stage(joined.groupBy("token", "part", "share").agg(F.collect_list("m").alias("m"), F.min("m.n").alias("n"), F.max("m.left").alias("left")), "parts")
     x, y = (parts.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("part", "m", "n", "left")]) for k in "xy")
     meet = x.join(y, "token").where("x_part > y_part").where(enough(F.least("x_left", "y_left"), F.col("x_n") + F.col("y_n")))
     alike = lambda p: F.transform(F.filter("y_m", lambda q: enough(F.least(p["left"], q["left"]), p["n"] + q["n"])), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b")))
-    rest = stage(ordered(meet.select(F.inline(F.flatten(F.transform("x_m", alike))))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = stage(ordered(meet.select(F.inline(F.flatten(F.transform("x_m", alike))))).join(asked, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         roots = stage(connected(links.unionByName(_confirmed(docs, rest, shingle, t))), "roots")
     return prints.select("doc_id", "mark", "id").join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
