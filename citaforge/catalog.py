@@ -575,6 +575,65 @@ def simulated_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("familia", F.col("classe").alias("classificacao")).agg(F.count("*").alias("n"), F.count_if("certo").alias("certos"))
 
 
+# -- spellings ----------------------------------------------------------------------
+
+_TURN = "cast((o_orderkey + o_custkey) % {n} as int) + 1"
+
+
+def _listed(values, kind: str) -> tuple[str, str]:
+    """The value of an order, dealt in turn, for Spark and for DuckDB."""
+    items = ", ".join("null" if v is None else f"'{v}'" for v in values)
+    turn = _TURN.format(n=len(values))
+    return f"element_at(array({items}), {turn})", f"cast(list_extract([{items}], {turn}) as {kind})"
+
+
+def _spellings(name: str, doc: str, call: str, cases: list[tuple[str, str | None]]) -> None:
+    """Registers a query that applies an SQL function to every order's spelling."""
+    text, want = _listed([t for t, _ in cases], "string")[0], _listed([w for _, w in cases], "string")[1]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .functions import sql
+
+        sql.register(spark)
+        rows = x.derive(spark, sf_dir, f"select o_orderkey, {text} as t from {{orders}}")
+        return rows.select("o_orderkey", F.expr(call).alias("chave"))
+
+    run.__name__, run.__doc__ = name, doc
+    query(f"select o_orderkey, {want} as chave from {{orders}}")(run)
+
+
+_spellings(
+    "court_spellings", "One acronym for each way to write a court.", "court_acronym(t)",
+    [("5TJ", "STJ"), ("STF", "STF"), ("TRF da 4ª Região", "TRF4"), ("Tribunal Regional Federal da Quarta Região", "TRF4"), ("TJ/SP", "TJSP"), ("TJ-MG", "TJMG"), ("Tribunal de Justiça do Estado de São Paulo", "TJSP"),
+     ("TRT-5", "TRT5"), ("TNU", "TNU"), ("TJMSP", "TJMSP"), ("Tribunal de Justiça de Mato Grosso do Sul", "TJMS"), ("TRT da Vigésima Terceira Região", "TRT23")],
+)
+_spellings(
+    "statute_spellings", "The code of a cited statute: names, acronyms, numbers, noise, years that fit or not.", "diploma_code(t)",
+    [("CPC", "CPC"), ("CPC/73", None), ("CPC/2015", "CPC"), ("Código de Processo Civil", "CPC"), ("Código Civil", "CC"), ("Código Penal Militar", "CPM"), ("Código de Processo Penal Militar", "CPPM"), ("Código Civil português", None),
+     ("Constituição Federal", "CF"), ("Constituição Estadual", None), ("Constituição de 1969", None), ("CF/88", "CF"), ("Lei Maior", "CF"), ("Lei nº 13.105/2015", "CPC"), ("Lei nº 13.105/2014", None), ("Lei Complementar 64/90", "LC64"),
+     ("Lei Estadual nº 10.406", None), ("Decreto-Lei nº 3.689", "CPP"), ("Lei de Execução Penal", "LEI_7210"), ("Estatuto do Idoso de 2004", None), ("Estatuto do Idoso de 2003", "LEI_10741"), ("LINDB", "DL_4657"), ("ECA", "ECA"),
+     ("Código de Proccsso Civil", "CPC"), ("Estatuto do Torcedor", None), ("Código Penal Mi1itar", "CPM")],
+)
+_spellings("cited_articles", "The key of an article as cited, noise and ordinal marks included.", "article_key(t)", [("5º", "5"), ("5o", "5"), ("5O", "50"), ("896-A", "896-A"), ("1.134", "1134"), ("3l3", "313"), ("103-b", "103-B"), ("", None)])
+
+#: Sound citations, but for one fault in each of nine turns; the base of each is the order's own text.
+_FAULTS = """
+select concat('d', cast(o_orderkey as string)) as documento_id, case when t = 0 then cast(null as string) else 'c1' end as id, case when t = 1 then -1 when t = 8 then 1 else 0 end as inicio, case when t = 2 then 0 else 3 end as fim, 'abc' as trecho,
+       case when t = 3 then 'outro' else 'lei' end as tipo, case when t = 4 then 'outra' when t = 6 then 'inventada' else 'real' end as classificacao, case when t in (4, 5) then null else o_orderkey end as id_canonico,
+       case when t = 7 then 1.5 else 1.0 end as confianca, 'abcdef' as texto
+from (select o_orderkey, (o_orderkey + o_custkey) % 10 as t from {orders}) f
+"""
+_FAULT_NAMES = {0: ("campo ausente",), 1: ("span inválido", "trecho não corresponde"), 2: ("span inválido", "trecho não corresponde"), 3: ("tipo inválido",), 4: ("classificacao inválida",), 5: ("real exige id_canonico",), 6: ("resolucao deve ser null",), 7: ("confianca fora de [0, 1]",), 8: ("trecho não corresponde",)}
+_FAULT_ROWS = ", ".join(f"({t}, '{name}')" for t, names in _FAULT_NAMES.items() for name in names)
+
+
+@query(f"select documento_id, problema from (select concat('d', cast(o_orderkey as string)) as documento_id, (o_orderkey + o_custkey) % 10 as t from {{orders}}) f join (values {_FAULT_ROWS}) v(t2, problema) on t = t2")
+def broken_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule of the contract, broken in turn."""
+    rows = x.derive(spark, sf_dir, _FAULTS)
+    return submission.contract_problems(rows.drop("texto"), rows.select("documento_id", "texto")).select("documento_id", "problema")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_citations(spark, sf_dir)
 
