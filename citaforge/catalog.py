@@ -634,6 +634,48 @@ def broken_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission.contract_problems(rows.drop("texto"), rows.select("documento_id", "texto")).select("documento_id", "problema")
 
 
+# -- noise, one class at a time -----------------------------------------------------
+
+
+def _noisy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The gold rows after one class of noise at every place."""
+    return noise.perturb(x.opinions(spark, sf_dir), x.derive(spark, sf_dir, f"select documento_id, inicio, fim, trecho, classificacao, familia from ({x.GOLD}) g"), (name,), 1.0, 3)[1]
+
+
+@query(f"select documento_id, inicio, fim, true as trocados from ({x.GOLD}) g")
+def noise_in_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every digit that has a letter like it is misread; lengths stay."""
+    return _noisy(spark, sf_dir, "ocr_numero").select("documento_id", *_long("inicio", "fim"), (~F.col("trecho").rlike("[0125689]")).alias("trocados"))
+
+
+@query(f"select documento_id, inicio, fim, replace(replace(trecho, 'STJ', '5TJ'), 'STF', '5TF') as trecho from ({x.GOLD}) g")
+def noise_in_court_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir, "sigla_tribunal").select("documento_id", *_long("inicio", "fim"), "trecho")
+
+
+@query(f"select documento_id, familia = 'processo' as nova, case when familia = 'processo' then substr(trecho, 6) else trecho end as resto from ({x.GOLD}) g")
+def noise_of_unseen_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each class before a number becomes one that no vocabulary has; the rest stays."""
+    first = F.substring_index("trecho", " ", 1)
+    new = first.isin(*noise.UNSEEN_CLASSES)
+    return _noisy(spark, sf_dir, "sigla_nao_vista").select("documento_id", new.alias("nova"), F.when(new, F.expr("substring(trecho, length(substring_index(trecho, ' ', 1)) + 2)")).otherwise(F.col("trecho")).alias("resto"))
+
+
+@query(f"select documento_id, 'julgado' as tipo, 'STF' as tribunal, '2024' as ano, 'Fulano de Tal' as relator, true as mudou from ({x.GOLD}) g where familia = 'vaga'")
+def noise_of_vague_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a vague reference stay, in another order."""
+    part = lambda pattern, name: F.regexp_extract("trecho", pattern, 0).alias(name)
+    rows = _noisy(spark, sf_dir, "ordem_incompleta").where("familia = 'vaga'")
+    return rows.select("documento_id", part("julgado", "tipo"), part("STF", "tribunal"), part("2024", "ano"), part("Fulano de Tal", "relator"), (F.col("trecho") != "julgado do STF proferido em 2024 pela relatoria de Fulano de Tal").alias("mudou"))
+
+
+@query(f"select documento_id, regexp_replace(trecho, '/SP$', '') as resto, familia = 'processo' as uf from ({x.GOLD}) g")
+def noise_of_unit_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unit keeps its two letters behind another separator."""
+    tail = r"(/SP| - SP| \(SP\)| – SP|-SP| / SP)$"
+    return _noisy(spark, sf_dir, "separador_uf").select("documento_id", F.regexp_replace("trecho", tail, "").alias("resto"), F.col("trecho").rlike(tail).alias("uf"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_citations(spark, sf_dir)
 
