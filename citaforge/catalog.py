@@ -676,6 +676,57 @@ def noise_of_unit_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noisy(spark, sf_dir, "separador_uf").select("documento_id", F.regexp_replace("trecho", tail, "").alias("resto"), F.col("trecho").rlike(tail).alias("uf"))
 
 
+#: What stands before a citation, the citation, what stands after it, and its family.
+_CITED = (
+    ("Aplica-se a ", "Súmula 99 do TST", " ao caso.", "sumula"),
+    ("A ", "5úmula Vinculante nº 11", " incide.", "sumula"),
+    ("Nos termos do ", "art. 999, I, do CPC", ", o ônus é do autor.", "dispositivo"),
+    ("Decreto-Lei nº 2.848 e ", "art. 121 do Código Penal", ".", "dispositivo"),
+    ("Ver o ", "Tema 1.234 da repercussão geral", ".", "tema"),
+    ("Conforme o ", "RSE nº 1234567-89.2025.7.00.0000/DF", ", citado.", "processo"),
+    ("Quanto ao ", "AgInt no AREsp 1.111.222 - RJ", ", nada.", "processo"),
+    ("Do Superior Tribunal de Justiça ", "Rcl 12.345/DF", ".", "processo"),
+    ("Também na ", "Rcl 12.345/DF", ".", "processo"),
+    ("Em ", "2019, o acórdão relatado por Fulano de Tal no STJ", " foi claro.", "vaga"),
+)
+_PART = [_listed([c[i] for c in _CITED], "string") for i in range(4)]
+_BEFORE, _QUOTED, _FAMILY = (_PART[i][1] for i in (0, 1, 3))
+
+
+@query(f"select concat('e', cast(o_orderkey as string)) as documento_id, cast(length({_BEFORE}) as bigint) as inicio, cast(length({_BEFORE}) + length({_QUOTED}) as bigint) as fim, {_QUOTED} as trecho, {_FAMILY} as familia from {{orders}}")
+def citation_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of all families in many forms, misread words and vague references in parts among them."""
+    texts = x.derive(spark, sf_dir, f"select concat('e', cast(o_orderkey as string)) as documento_id, concat({_PART[0][0]}, {_PART[1][0]}, {_PART[2][0]}) as texto from {{orders}}")
+    return detect.citations(texts).select("documento_id", *_long("inicio", "fim"), "trecho", "familia")
+
+
+#: Sentences with a reference that a base of one provision and one precedent decides, and label, path and confidence.
+_DECIDED = (
+    ("art. 3º da Lei nº 9.504/1997", "real", "real_tabela", 1.0),
+    ("art. 3º da Lei nº 9.504/1998", "inventada", "inventada_tabela", 1.0),
+    ("art. 3º da Lei das Eleições", "real", "real_tabela", 1.0),
+    ("Súmula Vinculante 11", "real", "real_tabela", 1.0),
+    ("Súmula Vinculante 11 do STJ", "inventada", "inventada_tabela", 1.0),
+    ("Rcl 2.222.333", "real", "real_desempate", 0.5),
+    ("julgado do STF proferido em 2024 pela relatoria de Fulano de Tal", "incompleta", "incompleta_vaga", 1.0),
+)
+_RECLAMATION = "RECLAMACAO Nº 2.222.333 - RS (2021/0123456-7)\nRELATOR : MINISTRO FULANO DE TAL\nRECORRENTE : EMPRESA SINTÉTICA\nEMENTA\nPROCESSUAL CIVIL.\nRELATÓRIO\nx\nVOTO\ny"
+_WANTED = [_listed([str(d[i]) for d in _DECIDED], kind)[1] for i, kind in ((1, "string"), (2, "string"), (3, "double"))]
+
+
+@query(f"select concat('r', cast(o_orderkey as string)) as documento_id, {_WANTED[0]} as classificacao, {_WANTED[1]} as caminho, {_WANTED[2]} as confianca from {{orders}}")
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years that a law declares, binding precedents, and full ties with their confidence."""
+    rows = [
+        ("dis", 302, None, "dispositivo", "Artigo 3 da Lei nº 9.504, de 30 de setembro de 1997", 50), ("sum", 203, None, "sumula", "Súmula Vinculante 11\n", 20),
+        ("doc_g", 107, "STJ", "acordao", _RECLAMATION, 10), ("doc_h", 108, "STJ", "acordao", _RECLAMATION, 20),
+    ]
+    known = index.build(index.clean_rows(spark.createDataFrame(rows, "documento_id string, id bigint, tribunal string, natureza string, texto string, texto_len bigint")))
+    cited = _listed([d[0] for d in _DECIDED], "string")[0]
+    texts = x.derive(spark, sf_dir, f"select concat('r', cast(o_orderkey as string)) as documento_id, concat('Conforme o ', {cited}, ', no caso.') as texto from {{orders}}")
+    return verify(texts, known).select("documento_id", "classificacao", "caminho", F.col("confianca").cast("double").alias("confianca"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_citations(spark, sf_dir)
 
