@@ -6,27 +6,28 @@ those that meet only a bit mask is gathered. A variant can meet 65 different
 fingerprints at most, so no group grows with the data; copies are folded into
 their fingerprint before.
 
-`similar_documents` serves a similarity instead of a radius. A pair of texts
-that share 0.8 of their 5-word shingles differs in some 10 of 64 bits, too far
-for a ball, so it uses no fingerprints: by the prefix filter two such texts
+`similar_documents` serves a similarity. The balls and their components come
+first, and each link of theirs is confirmed by its exact similarity. Texts that
+share 0.8 of their 5-word shingles may differ in some 10 of 64 bits, too far for
+a ball; for those there is an exact way: by the prefix filter two such texts
 share one of the first shingles of each in an order that all texts have in
-common, and every pair that meets there is confirmed by its exact similarity.
+common, and pairs that meet there and aren't joined yet are confirmed likewise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import map_batches, utf8
-from .common import stage
+from .common import clear_stages, stage, staged
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -201,6 +202,28 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) ->
     return both.where(shared * (t.numerator + t.denominator) >= sizes * t.numerator).select("a", "b")
 
 
+def ball_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the ids in rows (fp, id): each id with the smallest of its fingerprint, and those smallest ones along the links of the balls. They connect what all pairs at two bits would."""
+    marks = stage(prints.select("fp", "id").distinct(), "marks")
+    first = stage(marks.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
+    copies = marks.join(first, "fp").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_id")) for c in "ab")
+    linked = ball_links(first.select("fp")).join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return _ordered(copies.unionByName(linked).where("a != b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _kept(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stages what `make` gives and deletes what it has staged on its way."""
+    begin = staged()
+    found = stage(make(), name)
+    clear_stages(spark, begin, staged() - 1)
+    return found
+
+
 def _parted(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of shingles with their texts' components as `part`; shingles that one component alone has have no further pairs."""
     own = Window.partitionBy("token")
@@ -213,14 +236,15 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     t = Fraction(similarity).limit_denominator(10_000)
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(_common(docs, shingle))
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("mark", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("head", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("mark", T.LongType()), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("head", T.ArrayType(T.LongType()))])
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known, counts = common.value
         for b in batches:
-            ids, sizes, heads = [], [], []
+            ids, fps, sizes, heads = [], [], [], []
             for text in utf8(b, "text"):
                 found = shingle_set(text, shingle)
+                fps.append(simhash(text))
                 n, uses = len(found), np.zeros(len(found), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -229,9 +253,13 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
                 sizes.append(n)
                 # a text shares at least ceil(t n) shingles with one that is alike, so one of these
                 heads.append(found[np.argsort(uses, kind="stable")][: n + 1 + -n * t.numerator // t.denominator].view(np.int64))
-            yield {"doc_id": b.column("doc_id"), "mark": b.column("mark"), "id": pa.array(np.array(ids, np.uint64).view(np.int64)), "n": sizes, "head": heads}
+            yield {"doc_id": b.column("doc_id"), "mark": b.column("mark"), "id": pa.array(np.array(ids, np.uint64).view(np.int64)), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "n": sizes, "head": heads}
 
     prints = stage(map_batches(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")), body, schema), "shingle-heads")
+    # the balls of the fingerprints lead: shingles add pairs across the components that they contract
+    common.unpersist()
+    near = _kept(spark, lambda: ball_pairs(prints), "pairs")
+    roots = _kept(spark, lambda: connected(near), "roots")
     classes = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("head").alias("head"))
     # left: shingles from the place on; if two texts first meet there, they share no more than the lesser
     places = classes.select("id", "n", F.posexplode("head").alias("pos", "token")).select("token", "id", "n", (F.col("n") - F.col("pos")).alias("left"))
@@ -239,24 +267,23 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     places = places.withColumn("one", F.min("id").over(group) == F.max("id").over(group))
     shared = stage(places.where("not one").drop("one"), "shared-shingles")
     enough = lambda left, size: left * (t.numerator + t.denominator) >= size * t.numerator
-    ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     # The text most of whose first shingles others have too leads a group: an original leads its copies, which differ from each other twice as much.
     hubs = stage(shared.groupBy("id").agg((F.count("*") / F.greatest(F.max("n"), F.lit(1))).alias("hub")), "hubs")
-    leader = F.max(F.struct("hub", "id", "n", "left")).over(group)
-    led = shared.join(hubs, "id").withColumn("lead", leader).where(F.col("id") != F.col("lead.id")).where(enough(F.least("left", "lead.left"), F.col("n") + F.col("lead.n")))
-    asked = stage(ordered(led.select(F.col("id").alias("a"), F.col("lead.id").alias("b"))), "pairs")
-    links = stage(_confirmed(docs, asked, shingle, t), "links")
-    roots = stage(connected(links), "roots")
+    leader = F.max(F.struct("hub", "id", "n", "left", "part")).over(group)
+    led = _parted(shared.join(hubs, "id"), roots).withColumn("lead", leader).where(F.col("part") != F.col("lead.part")).where(enough(F.least("left", "lead.left"), F.col("n") + F.col("lead.n")))
+    asked = stage(near.unionByName(_ordered(led.select(F.col("id").alias("a"), F.col("lead.id").alias("b")))), "pairs")
+    links = _kept(spark, lambda: _confirmed(docs, asked, shingle, t), "links")
+    roots = _kept(spark, lambda: connected(links), "roots")
 
-    # then every pair of a group that isn't joined yet
+    # then every pair of a group that isn't joined by a confirmed link yet, also within a component of the balls
     joined = _parted(shared, roots).select("token", "part", F.struct("id", "n", "left").alias("m"))
     joined = joined.withColumn("share", F.pmod(F.xxhash64("m.id"), F.ceil(F.count("*").over(Window.partitionBy("token", "part")) / GATHERED)))
     parts = stage(joined.groupBy("token", "part", "share").agg(F.collect_list("m").alias("m"), F.min("m.n").alias("n"), F.max("m.left").alias("left")), "parts")
     x, y = (parts.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("part", "m", "n", "left")]) for k in "xy")
     meet = x.join(y, "token").where("x_part > y_part").where(enough(F.least("x_left", "y_left"), F.col("x_n") + F.col("y_n")))
     alike = lambda p: F.transform(F.filter("y_m", lambda q: enough(F.least(p["left"], q["left"]), p["n"] + q["n"])), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b")))
-    rest = stage(ordered(meet.select(F.inline(F.flatten(F.transform("x_m", alike))))).join(asked, ["a", "b"], "left_anti"), "pairs")
+    rest = stage(_ordered(meet.select(F.inline(F.flatten(F.transform("x_m", alike))))).join(asked, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         roots = stage(connected(links.unionByName(_confirmed(docs, rest, shingle, t))), "roots")
     return prints.select("doc_id", "mark", "id").join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
@@ -267,8 +294,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     component_id: the smallest doc_id reachable over links of a Jaccard
     similarity of `similarity` or more on distinct shingles of `shingle` words
-    (by 64-bit hashes). Every such pair meets in a shingle and every link is
-    confirmed, but for pairs that are in one component already. Texts without
+    (by 64-bit hashes). Pairs of fingerprints in one ball come first; every
+    other such pair meets in a shingle, and every link is confirmed, but for
+    pairs that are in one component already. Texts without
     words are alike; null ids are ignored in the smallest id; repeated rows
     stay.
     """

@@ -19,7 +19,7 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest doc_id, a null one last, and of equal ids the smallest text hash; ids don't group documents. Texts without words are alike; of equal rows one stays; an empty table gives an empty one."""
+    """Of each group of near duplicates (pairs from balls of SimHash fingerprints, then from shingles for what no ball reaches; all confirmed at a similarity of 0.8 on five words) the document with the smallest doc_id, a null one last, and of equal ids the smallest text hash; ids don't group documents. Texts without words are alike; of equal rows one stays; an empty table gives an empty one."""
     found = simhash.similar_rows(docs)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("x"))
     kept = first.select(F.col("x.doc_id").alias("kept_id"), F.col("x.mark").alias("kept_mark"))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from citaforge.llm import simhash
 
 from .test_queries import prose
 
@@ -53,3 +54,37 @@ def test_an_item_without_an_id_counts(spark, tmp_path):
     benchmark(spark, tmp_path, [(None, item), (1, prose(rng, 20))])
     rows = [(1, prose(rng, 60), "s"), (2, prose(rng, 60) + " " + item, "s")]
     assert texts(corpus_pipeline.drop_contaminated(spark, frame(spark, rows), str(tmp_path))) == Counter([rows[0][1]])
+
+
+def linked(pairs, nodes):
+    """The nodes' groups by the pairs."""
+    group = {i: {i} for i in nodes}
+    for a, b in pairs:
+        together = group[a] | group[b]
+        group.update(dict.fromkeys(together, together))
+    return group
+
+
+def test_near_duplicates_meet_in_balls_of_fingerprints(spark, monkeypatch):
+    """Pairs at two bits are asked so that they connect all such texts; shingles add pairs across their components only."""
+    rng = random.Random(45)
+    base = [prose(rng, 300) for _ in range(12)]
+    near = [" ".join(w if rng.random() > 0.004 else f"new{rng.randrange(10**9)}" for w in t.split()) for t in base for _ in range(6)]
+    found = dict(enumerate([*base, *near, "", "two words"]))
+    fps = {d: simhash.simhash(t.encode()) for d, t in found.items()}
+    ids = {d: simhash._set_id(simhash.shingle_set(t.encode(), 5)) for d, t in found.items()}
+    by_id = {i: fps[d] for d, i in ids.items()}
+    close = lambda a, b: (by_id[a] ^ by_id[b]).bit_count() <= 2
+    want = linked([(a, b) for a in by_id for b in by_id if a < b and close(a, b)], by_id)
+    assert sum(len(g) > 1 for g in want.values()) > 20
+    asked, confirmed = [], simhash._confirmed
+
+    def spy(docs, pairs, *rest):
+        asked.append([(r["a"] % 2**64, r["b"] % 2**64) for r in pairs.collect()])
+        return confirmed(docs, pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_confirmed", spy)
+    kept = texts(corpus_pipeline.drop_near_duplicates(spark, frame(spark, [(d, t, "s") for d, t in found.items()]), ""))
+    assert linked([p for p in asked[0] if close(*p)], by_id) == want
+    assert all(b not in want[a] for a, b in asked[0] if not close(a, b))
+    assert kept == Counter([*base, "", "two words"])  # the links out of a ball's reach are found too
