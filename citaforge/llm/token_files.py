@@ -19,7 +19,9 @@ import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,28 +42,35 @@ _MAGIC = b"RSG2"
 _HEAD = "<IIIIIQ"
 #: Distinct words and pieces whose ids a worker remembers lately (some 200 bytes each), and as many from before.
 MEMO = 400_000
+#: Characters of a piece that is remembered at most: scripts without spaces have words of any length.
+LONGEST = 100
 _ENCODERS: dict[str, _Encoder] = {}
 
 
-class _Memo:
-    """Ids of pieces of text in two generations: what is asked for again moves to the younger one; when that is full, it replaces the older one."""
+class _Memo(dict):
+    """Ids of pieces of text in two generations: what is asked for again moves to the younger one, which is this dictionary; when that is full, it replaces the older one."""
 
-    def __init__(self, size: int):
-        self.size = size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, size: int, make: Callable[[str], bytes]):
+        self.size, self.make, self.old = size, make, {}
 
-    def get(self, piece: str, make) -> bytes:
-        if (found := self.young.get(piece)) is None:
-            found = self.old.get(piece) or make(piece)
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
-            self.young[piece] = found
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.make(piece)
+        found = self.old.get(piece) or self.make(piece)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
         return found
 
 
+class _Apart(Exception):
+    """A word whose ids depend on its neighbours."""
+
+
 #: Before a mark that ends a word, and before a word that begins a line; a text that holds one of them is split as a whole.
 _MARK, _LINE = "\x00", "\x02"
+_ID = attrgetter("id")
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
@@ -85,7 +94,7 @@ class _Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         form = json.loads(self.tokenizer.to_str())
         first = form["pre_tokenizer"] or {}
         self.by_pieces = form["normalizer"] is None and form["model"]["type"] == "BPE" and first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"]
@@ -94,56 +103,48 @@ class _Encoder:
         # bytes that print stand for themselves, the others for the characters from U+0100 on, in order
         printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
-        self.alphabet = {b: b if b in printed else next(rest) for b in range(256)}
-        self.pieces, self.words = _Memo(MEMO // 4), _Memo(MEMO)
+        self.alphabet = "".join(chr(b if b in printed else next(rest)) for b in range(256))
+        self.pieces, self.words = _Memo(MEMO // 4, self._ids), _Memo(MEMO, self._new)
 
     def _ids(self, piece: str) -> bytes:
-        return self._packed(piece.encode().decode("latin-1").translate(self.alphabet))
+        return self._packed(charmap_decode(piece.encode(), "strict", self.alphabet)[0])
 
     def _packed(self, spelt: str) -> bytes:
-        ids = [x.id for x in self.model.tokenize(spelt)]
+        ids = [*map(_ID, self.tokenize(spelt))]
         return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _split(self, text: str) -> bytes:
-        return b"".join([self.pieces.get(x, self._ids) for x in self.pattern.findall(text)])
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def _new(self, word: str) -> bytes:
         """Ids of a word that is not remembered, with the space before it unless it begins with a sign."""
-        if word[0] in (_MARK, _LINE):
-            return self._split(word[1:])
-        if word.isascii() and word.isalpha():
-            return self._packed("\u0120" + word)  # a space in the alphabet of the merges
-        return self._ids(" " + word) if word.isalpha() else self._split(" " + word)
+        if word.isalpha():
+            return self._packed("\u0120" + word) if word.isascii() else self._ids(" " + word)  # a space in the alphabet of the merges
+        if not word or word[-1].isspace() and word[0] != _MARK or word[0] == _LINE and (len(word) == 1 or word[1].isspace()):
+            raise _Apart
+        return self._split(word[1:] if word[0] in (_MARK, _LINE) else " " + word)
 
-    def _parted(self, text: str) -> list[bytes] | None:
+    def _parted(self, text: str) -> bytes | None:
         """The ids by words, or None if the words don't stand alone."""
         text = text.replace(", ", f" {_MARK}, ").replace(". ", f" {_MARK}. ").replace(".\n", f" {_MARK}.\n {_LINE}")
-        if f". {_MARK}" in text:
-            return None
+        before = text.split(f" {_MARK}")
+        del before[-1]
+        if not all([x[-1:].isalnum() for x in before]):
+            return None  # a mark behind a mark may be one piece with it
         first, *words = text.split(" ")
-        ids = [*map(self.words.young.get, words)]
-        words.append("")
-        if not first or first[-1].isspace() or words[0][:1] == _MARK and not first[-1].isalnum():
+        if not first or first[-1].isspace():
+            return None
+        try:
+            return self._split(first) + b"".join(map(self.words.__getitem__, words))
+        except _Apart:
             return None
-        for i, x in enumerate(ids):
-            if x is None:
-                word = words[i]
-                if not word or word[-1].isspace() and word[0] != _MARK or word[0] == _LINE and (len(word) == 1 or word[1].isspace()):
-                    return None
-                if word[-1].isalnum() or word[0] == _MARK:
-                    ids[i] = self.words.get(word, self._new)
-                elif words[i + 1][:1] == _MARK:
-                    return None  # a mark behind a mark may be one piece with it
-                else:
-                    ids[i] = self._new(word)
-        return [self._split(first), *ids]
 
     def encode(self, text: str | None, end_id: int) -> np.ndarray:
         text = text or ""
         if not self.by_pieces or any(map(text.__contains__, self.added)):
             return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end_id], "<u4")
         parted = None if _MARK in text or _LINE in text else self._parted(text)
-        return np.frombuffer((self._split(text) if parted is None else b"".join(parted)) + struct.pack("<I", end_id), "<u4")
+        return np.frombuffer((self._split(text) if parted is None else parted) + struct.pack("<I", end_id), "<u4")
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[np.ndarray]:

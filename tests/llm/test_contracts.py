@@ -207,6 +207,29 @@ def test_token_memory_is_bounded(monkeypatch):
     token_files._ENCODERS.clear()
 
 
+def test_words_with_signs_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    t = Tokenizer.from_file(path)
+    rng = random.Random(7)
+    pool = ["IN!!", "de%%%", "|", "est&&&", "la.&&&", "(716)", "THTI.!!", "Eux***", "x", "naïve", "ß$$$", "A,", "b.", "c!,", "d#.\ne"]
+    texts = [" ".join(["Begin", *rng.choices(pool, k=30)]) for _ in range(300)]
+    token_files._ENCODERS.clear()
+    token_files.encode_texts(["a"], path)
+    e, made = token_files._ENCODERS[path], []
+    split = e._split
+    monkeypatch.setattr(e, "_split", lambda text: made.append(text) or split(text))
+    for text, ids in zip(texts, token_files.encode_texts(texts, path)):
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    made = [x for x in made if x != "Begin"]  # the first word of each
+    assert made and len(made) == len(set(made))
+    long = "漢字" * 2000 + "。 " + "ab!" * 2000 + " end"
+    assert token_files.encode_texts([long], path)[0].tolist() == [*t.encode(long, add_special_tokens=False).ids, 2]
+    assert max(map(len, [*e.words, *e.pieces])) <= token_files.LONGEST
+    token_files._ENCODERS.clear()
+
+
 def test_tokens_equal_those_of_whole_texts():
     from tokenizers import Tokenizer
 
