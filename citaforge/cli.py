@@ -7,6 +7,7 @@ import sys
 import time
 
 from .operators import index, submission
+from .operators.guard import failures
 from .plans.verify import load_base, verify
 from .session import build_session
 from .sources.opinions import read_opinions
@@ -14,7 +15,7 @@ from .sources.tables import read_csv
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0 if all went well; 1 if the input can't be read or the table has problems (it is kept); 2 for wrong use."""
+    """0 if all went well; 1 if the input can't be read, a document failed or the table has problems (it is kept); 2 for wrong use."""
     p = argparse.ArgumentParser(prog="citaforge", description=__doc__)
     p.add_argument("opinions", help="folder of .txt files")
     p.add_argument("--database", help="SQLite base; goes before --tables")
@@ -38,7 +39,8 @@ def main(argv: list[str] | None = None) -> int:
         for r in submission.repeated_ids(opinions).collect():
             print(f"warning: {r['n']} files have the id {r['documento_id']}; the last one counts", file=sys.stderr)
         opinions = submission.last_by_path(opinions).persist()
-        found = verify(opinions, base).persist()
+        failed = failures(spark)
+        found = verify(opinions, base, failed).persist()
         if args.output:
             submission.write_json(submission.contract_json(opinions, found, args.source), args.output)
         problems = []
@@ -51,9 +53,11 @@ def main(argv: list[str] | None = None) -> int:
     except Exception as error:  # noqa: BLE001  a readable message instead of a trace
         print(f"error: {str(error).splitlines()[0]}", file=sys.stderr)
         return 1
+    for document, cause in sorted(failed.value.items()):
+        print(f"problem: {document} failed and was left empty: {cause}", file=sys.stderr)
     for r in problems:
         print(f"problem: {r['documento_id']} {r['posicao']} {r['problema']}", file=sys.stderr)
-    return int(bool(problems))
+    return int(bool(problems or failed.value))
 
 
 if __name__ == "__main__":
